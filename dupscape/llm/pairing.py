@@ -1,0 +1,24 @@
+"""Equi-joins of a table with itself that survive a key holding a third of all rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Members of one key that meet all others in one task.
+BLOCK = 256
+
+
+def salted_pairs(df: DataFrame, keys: list[str], row: str, carry: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    """All pairs of rows that agree in ``keys``, as columns ``<name>_a`` and ``<name>_b`` with ``row_a < row_b``.
+
+    The left rows of a key with n rows are spread over ceil(n / block) salts and the right rows repeated for each, so
+    that no task holds more than ``block`` left rows of a key. Rows with a null key never pair; nothing is dropped.
+    """
+    carry = carry or []
+    names = [row, *carry]
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").withColumn("_salts", F.ceil(F.col("_n") / block).cast("int")).drop("_n")
+    counted = df.select(*keys, *names).join(sizes, keys)
+    left = counted.select(*keys, F.pmod(F.xxhash64(row), F.col("_salts")).cast("int").alias("_salt"), *[F.col(c).alias(f"{c}_a") for c in names])
+    right = counted.select(*keys, F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), *[F.col(c).alias(f"{c}_b") for c in names])
+    return left.join(right, [*keys, "_salt"]).where(F.col(f"{row}_a") < F.col(f"{row}_b")).drop("_salt")
