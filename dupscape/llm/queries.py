@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dupscape.llm.components import linked_groups
 from dupscape.llm.encoding import encode_corpus
 from dupscape.llm.leakage import leaked_items
 from dupscape.llm.near_edits import near_duplicate_pairs
+from dupscape.llm.residue import residue_documents
 from dupscape.llm.same_look import look_alike_pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +40,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("first").alias("first_id"), F.col("second").alias("second_id"), "field_name")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every linked file with the smallest path of its group."""
+    groups = linked_groups(_table(spark, sf_dir, "filename_matches"), "first_path", "second_path")
+    return groups.select(F.col("member").alias("file_path"), F.col("group").alias("group_path"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encode_corpus(_table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path())
@@ -48,6 +56,22 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p5_found, p7_ids, p8_found)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are template residue, filler, error pages or script notices in more than half of their characters."""
+    return residue_documents(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p5_found, p6_found, p7_ids, p8_found, p9_found)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p6_found": """
+        WITH RECURSIVE pairs AS (
+            SELECT first_path AS a, second_path AS b FROM filename_matches WHERE first_path <> second_path
+            UNION SELECT second_path, first_path FROM filename_matches WHERE first_path <> second_path
+        ), reach(file_path, other) AS (
+            SELECT a, a FROM pairs
+            UNION SELECT r.file_path, p.b FROM reach r JOIN pairs p ON p.a = r.other
+        )
+        SELECT file_path, min(other) AS group_path FROM reach GROUP BY file_path
+    """,
+}
