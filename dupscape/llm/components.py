@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from dupscape.session import drop_path, materialize, scratch
 
 
-def shift(vertex: Column, level: int, mean: float, rounds: int) -> Column:
-    """Start of a vertex's own cluster: rounds less an exponential shift of the given mean, at least 0; from hashes."""
+def start(vertex: Column, level: int, mean: float) -> Column:
+    """Start of a vertex's own cluster: an exponential shift of the given mean before time 0, drawn from a hash."""
     uniform = (F.shiftrightunsigned(F.xxhash64(vertex, F.lit(level), F.lit(7)), 11) + F.lit(1)) / F.lit(float(1 << 53))
-    return F.greatest(F.lit(0.0), F.lit(float(rounds)) + F.log(uniform) * F.lit(mean))
+    return F.log(uniform) * F.lit(mean)
 
 
 def _kept(df: DataFrame, label: str, old: list[str]) -> DataFrame:
@@ -28,28 +28,29 @@ def _kept(df: DataFrame, label: str, old: list[str]) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def decompose(edges: DataFrame, level: int, rounds: int, mean: float, old: list[str]) -> DataFrame:
+def decompose(edges: DataFrame, level: int, rounds: int, mean: float) -> DataFrame:
     """``(v, c)``: each vertex of the symmetric, loop-free ``edges(a, b)`` with the centre of its cluster.
 
-    In round t, unclaimed vertices whose start has come found a cluster; an unclaimed neighbour of a claimed vertex joins
-    the one whose centre started first. What starts after the last round is a cluster of its own.
+    A vertex joins the centre whose cluster reaches it first, or founds its own where its start comes before; clusters
+    grow for ``rounds`` steps, which bounds their diameter.
     """
-    start = F.struct(shift(F.col("v"), level, mean, rounds).alias("s"), F.col("v").alias("c"))
-    label = edges.select(F.col("a").alias("v")).distinct().select("v", start.alias("best"))
+    label = edges.select(F.col("a").alias("v")).distinct()
+    # an edge takes an arrival one step on; a vertex keeps its own with no step, so a round reads the labels once
+    steps = edges.withColumn("d", F.lit(1.0)).unionByName(label.select(F.col("v").alias("a"), F.col("v").alias("b"), F.lit(0.0).alias("d")))
+    label = label.select("v", start(F.col("v"), level, mean).alias("s"), F.col("v").alias("c"))
     for _ in range(rounds):
-        # a label is (arrival, centre): an own start, or a neighbour's arrival and one step; the least wins, and both
-        # sides are pre-aggregated before they are shuffled
-        offers = edges.join(label, edges.a == label.v).select(F.col("b").alias("v"), F.struct((F.col("best.s") + 1).alias("s"), F.col("best.c").alias("c")).alias("best"))
-        label = _kept(label.unionByName(offers).groupBy("v").agg(F.min("best").alias("best")), "clusters", old)
-    return label.select("v", F.col("best.c").alias("c"))
+        # (arrival, centre): the least wins, pre-aggregated before the shuffle, so a hub's neighbours never meet in one task
+        offers = steps.join(label, steps.a == label.v).select("b", F.struct((F.col("s") + F.col("d")).alias("s"), "c").alias("best"))
+        label = offers.groupBy(F.col("b").alias("v")).agg(F.min("best").alias("best")).select("v", "best.s", "best.c")
+    return label.select("v", "c")
 
 
-def component_ids(edges: DataFrame, rounds: int = 3, mean: float = 1.5) -> DataFrame:
+def component_ids(edges: DataFrame, rounds: int = 3, mean: float = 3.0, growth: float = 1.5) -> DataFrame:
     """``(v, root)`` for all vertices of ``edges(a, b)`` (bigint): equal roots if and only if linked.
 
     Rows with a null end are no links and do not make a vertex; loops make a vertex, and repeated or turned edges count
     once. Levels are not bounded: each contracts every cluster of two or more vertices, so the edges run out. A level
-    reads only the edges between the last level's clusters; hubs are pre-aggregated by the distinct and min above
+    reads only the edges between the last level's clusters, and larger mean shifts (by ``growth`` a level) cut fewer; hubs are pre-aggregated by the distinct and min above
     shuffles, and all state lies in the shared folder, so a lost executor costs a retry.
     """
     spark = edges.sparkSession
@@ -60,8 +61,7 @@ def component_ids(edges: DataFrame, rounds: int = 3, mean: float = 1.5) -> DataF
     links = _kept(both.distinct(), "edges", old)
     assigned, level = [], 0
     while not links.isEmpty():
-        clusters = decompose(links, level, rounds, mean, old)
-        assigned.append(materialize(clusters, "level"))
+        assigned.append(materialize(decompose(links, level, rounds, mean * growth**level), "level"))
         own = assigned[-1]
         left, right = own.select(F.col("v").alias("a"), F.col("c").alias("x")), own.select(F.col("v").alias("b"), F.col("c").alias("y"))
         between = links.join(left, "a").join(right, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
@@ -77,8 +77,7 @@ def component_ids(edges: DataFrame, rounds: int = 3, mean: float = 1.5) -> DataF
             roots = own.select("v", F.col("c").alias("root"))
         else:
             up = roots.withColumnRenamed("v", "c")
-            roots = own.join(up, "c", "left").select("v", F.coalesce("root", "c").alias("root"))
-            roots = materialize(roots, "roots")
+            roots = materialize(own.join(up, "c", "left").select("v", F.coalesce("root", "c").alias("root")), "roots")
     if roots is None:
         return vertices.select("v", F.col("v").alias("root"))
     return vertices.join(roots, "v", "left").select("v", F.coalesce("root", "v").alias("root"))

@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 from dupscape.llm.components import linked_groups
 from dupscape.llm.encoding import encode_corpus
+from dupscape.llm.history import file_fingerprints, known_records
 from dupscape.llm.leakage import leaked_items
 from dupscape.llm.near_edits import near_duplicate_pairs
 from dupscape.llm.residue import residue_documents
 from dupscape.llm.same_look import look_alike_pairs
+from dupscape.llm.survivors import MISSING, is_real, learned_precedence, survivors
+from dupscape.paths import below, plain
+from dupscape.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +31,47 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of each group with what decides between them: trust, known size, known date."""
+    groups = _table(spark, sf_dir, "filename_groups").select("group_id", "session_no", F.explode(F.array_distinct("files")).alias("file_path"))
+    sessions = _table(spark, sf_dir, "scan_sessions").select("session_no", F.transform("reference_paths", plain).alias("roots"), "started_at")
+    files = _table(spark, sf_dir, "ebook_files").select("file_id", "file_path", "title", "author", "file_size", "modified_at")
+    place = plain("file_path")
+    return (
+        groups.join(sessions, "session_no", "left")
+        .join(files, "file_path")
+        .select(
+            "group_id",
+            "file_id",
+            "title",
+            "author",
+            F.coalesce(F.exists("roots", lambda r: below(place, r)), F.lit(False)).alias("trusted"),
+            F.when(F.col("file_size") > 0, F.col("file_size")).alias("size"),
+            F.when((F.col("modified_at") >= F.lit("1990-01-01 00:00:00").cast("timestamp")) & (F.col("started_at").isNull() | (F.col("modified_at") <= F.col("started_at"))), F.col("modified_at")).alias("dated"),
+        )
+    )
+
+
+def _orders() -> tuple[list, dict]:
+    trusted, size, dated = F.col("trusted").cast("int"), F.col("size"), F.unix_micros("dated")
+    return [trusted, dated], {"path": [trusted, size, dated]}
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per group the file to keep and the files that supply title and author, by the stated order."""
+    order, by_field = _orders()
+    fields = {"path": None, "title": F.col("title"), "author": F.col("author")}
+    return survivors(_members(spark, sf_dir), "group_id", "file_id", fields, order, field_order=by_field)
+
+
+def p1_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and authors by currency alone: dates where known, learned precedence of styles where not."""
+    members = _members(spark, sf_dir)
+    fields = {"title": F.col("title"), "author": F.col("author")}
+    learned = {name: learned_precedence(members.where(is_real(value)), ["group_id"], name, "dated") for name, value in fields.items()}
+    return survivors(members, "group_id", "file_id", fields, _orders()[0][:1], when="dated", learned=learned)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books in state ready whose compared texts' runs of eight characters have a Jaccard similarity of 0.6 or more."""
     ready = _table(spark, sf_dir, "ebook_documents").where("state = 'ready'")
@@ -34,6 +79,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("first").alias("first_id"), F.col("second").alias("second_id"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of each batch that an earlier batch holds, wholly or by their sample."""
+    prints = file_fingerprints(_table(spark, sf_dir, "session_files"), "record_id", "session_no", "file_size", "sample_hash", "full_hash")
+    found = known_records(materialize(prints, "prints"))
+    return found.select(F.col("earlier").alias("earlier_id"), F.col("record").alias("record_id"), F.col("kind").alias("match_kind"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books whose title or text looks the same but is stored differently."""
     pairs = look_alike_pairs(_table(spark, sf_dir, "ebook_documents"), "book_id", ["title", "text"])
@@ -61,9 +113,48 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue_documents(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p5_found, p6_found, p7_ids, p8_found, p9_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_currency, p2_found, p4_found, p5_found, p6_found, p7_ids, p8_found, p9_found)}
+
+_WORDS = ", ".join(f"'{w}'" for w in MISSING)
+_REAL = "trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g')) NOT IN ('', " + _WORDS.replace("{", "{{") + ")"
+_PLAIN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '/+', '/', 'g'), '/\\./', '/', 'g'), '/[^/]+/\\.\\.(/|$)', '/', 'g'), '(.)/$', '\\1')"
+_HASH = "regexp_replace(lower(regexp_replace({0}, '\\s+', '', 'g')), '^sha256:', '')"
+_USABLE = f"CASE WHEN regexp_full_match({_HASH}, '[0-9a-f]{{{{64}}}}') AND {_HASH} <> repeat(left({_HASH}, 1), 64) THEN {_HASH} END"
 
 ORACLES: dict[str, str] = {
+    "p1_found": f"""
+        WITH roots AS (
+            SELECT session_no, {_PLAIN.format("r")} AS root FROM (SELECT session_no, unnest(reference_paths) AS r FROM scan_sessions)
+        ), members AS (
+            SELECT DISTINCT g.group_id, f.file_id, f.title, f.author,
+                EXISTS (SELECT 1 FROM roots r WHERE r.session_no = g.session_no AND starts_with(f.file_path, r.root || '/')) AS trusted,
+                CASE WHEN f.file_size > 0 THEN f.file_size END AS size,
+                CASE WHEN f.modified_at >= TIMESTAMP '1990-01-01' AND (s.started_at IS NULL OR f.modified_at <= s.started_at) THEN f.modified_at END AS dated
+            FROM (SELECT group_id, session_no, unnest(files) AS file_path FROM filename_groups) g
+            JOIN ebook_files f USING (file_path) LEFT JOIN scan_sessions s USING (session_no)
+        ), ranked AS (
+            SELECT group_id, 'path' AS field_name, file_id,
+                row_number() OVER (PARTITION BY group_id ORDER BY trusted DESC, size DESC NULLS LAST, dated DESC NULLS LAST, file_id) AS n FROM members
+            UNION ALL SELECT group_id, 'title', file_id, row_number() OVER (PARTITION BY group_id ORDER BY trusted DESC, dated DESC NULLS LAST, file_id)
+            FROM members WHERE {_REAL.format("title")}
+            UNION ALL SELECT group_id, 'author', file_id, row_number() OVER (PARTITION BY group_id ORDER BY trusted DESC, dated DESC NULLS LAST, file_id)
+            FROM members WHERE {_REAL.format("author")}
+        )
+        SELECT group_id, field_name, file_id FROM ranked WHERE n = 1
+    """,
+    "p4_found": f"""
+        WITH hashes AS (
+            SELECT record_id, session_no, file_size, {_USABLE.format("sample_hash")} AS s, {_USABLE.format("full_hash")} AS f FROM session_files WHERE file_size > 0
+        ), prints AS (
+            SELECT record_id, session_no, 'exact' AS match_kind, file_size, coalesce(f, CASE WHEN file_size <= 196608 THEN s END) AS h FROM hashes
+            UNION ALL SELECT record_id, session_no, 'near', file_size, s FROM hashes WHERE file_size > 196608
+        ), hits AS (
+            SELECT b.record_id, b.match_kind, min(a.record_id) AS earlier_id
+            FROM prints a JOIN prints b USING (match_kind, file_size, h) WHERE a.session_no < b.session_no GROUP BY 1, 2
+        )
+        SELECT earlier_id, record_id, match_kind FROM hits
+        WHERE match_kind = 'exact' OR record_id NOT IN (SELECT record_id FROM hits WHERE match_kind = 'exact')
+    """,
     "p6_found": """
         WITH RECURSIVE pairs AS (
             SELECT first_path AS a, second_path AS b FROM filename_matches WHERE first_path <> second_path
