@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dupscape.operators.incremental import changed_rows
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +28,20 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("""
+    WITH seen AS (
+        SELECT *, row_number() OVER (PARTITION BY session_no, file_path ORDER BY observed_at DESC NULLS LAST, ingested_at DESC NULLS LAST) AS n
+        FROM file_stamps WHERE session_no IN (SELECT session_no FROM scan_sessions WHERE status = 'completed') AND file_path IS NOT NULL
+    ), steps AS (
+        SELECT session_no, file_path, row(device, inode, file_size, modified_s, modified_ns, changed_s, changed_ns) AS version,
+            lag(row(device, inode, file_size, modified_s, modified_ns, changed_s, changed_ns)) OVER w AS last, row_number() OVER w AS k
+        FROM seen WHERE n = 1 WINDOW w AS (PARTITION BY file_path ORDER BY session_no)
+    )
+    SELECT session_no, file_path FROM steps WHERE k = 1 OR version IS DISTINCT FROM last
+""")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per completed session the files that are new or whose stamp has changed."""
+    changed = changed_rows(_table(spark, sf_dir, "file_stamps"), _table(spark, sf_dir, "scan_sessions"))
+    return changed.select("session_no", "file_path")
