@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 # Marks of a copy at the end of a name, and the rolling hash of 18 symbols winnowed over 48 hashes.
 COPY_SUFFIX = r"(?i)(?:\s*[-_ ]?(?:copy|副本|重复|备份|\(\d+\)|（\d+）))+$"
@@ -17,7 +18,7 @@ HASH_BASE, SYMBOLS, WINNOW = 1_099_511_628_211, 18, 48
 READY_LENGTH = 200
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     """Compatibility composition; Spark has no built-in. Null stays null."""
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
@@ -114,7 +115,7 @@ def winnowed(text: str) -> np.ndarray:
     return np.unique(np.minimum(low[: len(hashes) - WINNOW + 1], low[rest:]) if rest else low)
 
 
-@pandas_udf("array<bigint>")
+@pandas_udf(ArrayType(LongType()))
 def winnow(texts: pd.Series) -> pd.Series:
     """Fingerprints of each text as signed 64-bit patterns, compared unsigned while winnowing. Null gives null."""
     return texts.map(lambda t: winnowed(t).view(np.int64).tolist(), na_action="ignore")

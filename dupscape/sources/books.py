@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType, StructField, StructType
 
 from dupscape.functions.text import READY_LENGTH
 
@@ -174,7 +175,7 @@ def extract(data: bytes | None, kind: str) -> tuple[str | None, str, str | None]
     return text, "ready", None
 
 
-@pandas_udf("text string, state string, detail string")
+@pandas_udf(StructType([StructField(c, StringType()) for c in ("text", "state", "detail")]))
 def extracted(contents: pd.Series, kinds: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([extract(c, k) for c, k in zip(contents, kinds)], columns=["text", "state", "detail"])
 

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from dupscape.functions.bits import difference_hash
 
@@ -40,7 +41,7 @@ def signature(data: bytes, height: int, width: int, channels: int) -> tuple[list
     return hashes, float(whole.mean()), float(whole.std())
 
 
-@pandas_udf("hashes array<bigint>, mean double, deviation double")
+@pandas_udf(StructType([StructField("hashes", ArrayType(LongType())), StructField("mean", DoubleType()), StructField("deviation", DoubleType())]))
 def signed(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series) -> pd.DataFrame:
     rows = [signature(d, h, w, c) or (None, None, None) for d, h, w, c in zip(data, height, width, channels)]
     return pd.DataFrame(rows, columns=["hashes", "mean", "deviation"])
