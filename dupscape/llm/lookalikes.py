@@ -117,10 +117,15 @@ def _graph() -> tuple[UnionFind, tuple[int, ...], dict[int, str]]:
     return sets, tuple(hidden), longer
 
 
+def _rank(ch: str) -> tuple[bool, int]:
+    """Order among members of a class without counts: those that are no compatibility form, then by code point."""
+    return unicodedata.normalize("NFKC", ch) != ch, ord(ch)
+
+
 class Folding:
     """A rewriting to representatives; ``counts`` are the corpus' code point frequencies.
 
-    Without counts the representative is the smallest code point of its class. A class that holds a longer string is
+    Without counts the representative is the smallest code point of its class that is no compatibility form. A class that holds a longer string is
     represented by that string, each of its code points by its own representative, so that rewriting is confluent.
     """
 
@@ -135,7 +140,7 @@ class Folding:
             if " " in members:
                 to = " "
             else:
-                to = min(members, key=lambda c: (-counts.get(ord(c), 0), ord(c)))
+                to = min(members, key=lambda c: (-counts.get(ord(c), 0), _rank(c)))
             base |= dict.fromkeys(members, to)
         one = lambda s: unicodedata.normalize("NFC", "".join(base.get(c, c) for c in s))
         canonical: dict[str, list[int]] = defaultdict(list)
@@ -144,7 +149,7 @@ class Folding:
             canonical[to].append(cp)
         for to, members in canonical.items():
             if len(to) == 1 and ord(to) in targets and len(members) > 1 and to not in base:
-                best = min([ord(to), *members], key=lambda c: (-counts.get(c, 0), c))
+                best = min([ord(to), *members], key=lambda c: (-counts.get(c, 0), _rank(chr(c))))
                 if unicodedata.is_normalized("NFC", chr(best)):
                     for cp in members:
                         targets[cp] = chr(best)
@@ -187,7 +192,7 @@ class Folding:
         small = {}
         for members in sets.classes():
             low = [m for m in members if m.lower() == m] or members
-            small |= dict.fromkeys(members, min(low))
+            small |= dict.fromkeys(members, min(low, key=_rank))
         for cp in {*targets, *(ord(c) for c in small)}:
             ch = chr(cp)
             to = small[ch] if ch in small else targets[cp].lower()
