@@ -46,17 +46,19 @@ def folder_digests(files: DataFrame, folders: DataFrame, incomplete: DataFrame |
     """``(folder, digest, total_bytes, file_count, complete)``: one digest of the whole tree below each folder.
 
     A digest covers the names, sizes and hashes of a folder's files and the names and digests of its folders, so that
-    equal digests mean equal trees, empty folders included. A folder is incomplete if a file below has no hash or a folder
-    below was not read; it then has no digest. Levels are built from the deepest up, one aggregation each.
+    equal digests mean equal trees, empty folders included. ``folders(path)`` lists the folders; others have no digest and add
+    nothing to those above. A folder is incomplete, and has no digest, if a file below has no hash or a folder below
+    (``incomplete.path``) was not read. Levels are built from the deepest up, one aggregation each.
     """
-    path = lambda df, c="path": df.select(F.col(c).alias("folder"))
-    known = path(folders).unionByName(files.select(F.explode(ancestors("path")).alias("folder"))).unionByName(folders.select(F.explode(ancestors("path")).alias("folder"))).distinct()
+    known = folders.select(F.col("path").alias("folder")).distinct()
     known = materialize(known.withColumn("depth", F.when(F.col("folder") == "/", 0).otherwise(F.size(F.split("folder", "/")) - 1)), "folders")
     entry = framed(F.lit("f"), F.element_at(F.split("path", "/"), -1), F.col("size").cast("string"), F.coalesce("full_hash", F.lit("")))
-    own = files.groupBy(parent("path").alias("folder")).agg(F.array_join(F.sort_array(F.collect_list(entry)), "").alias("entries"), F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.bool_and(F.col("full_hash").isNotNull()).alias("hashed"))
-    bad = incomplete.select(F.col("path").alias("folder"), F.lit(True).alias("bad")).distinct() if incomplete is not None else None
+    own = files.groupBy(parent("path").alias("folder")).agg(F.array_join(F.sort_array(F.collect_list(entry)), "").alias("entries"), F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    bad = files.where("full_hash is null").select(F.explode(ancestors("path")).alias("folder"))
+    if incomplete is not None:
+        bad = bad.unionByName(incomplete.select(F.explode(F.array_append(ancestors("path"), F.col("path"))).alias("folder")))
     base = known.join(own, "folder", "left")
-    base = base.join(bad, "folder", "left") if bad is not None else base.withColumn("bad", F.lit(None).cast("boolean"))
+    base = base.join(bad.distinct().withColumn("bad", F.lit(True)), "folder", "left")
     base = materialize(base, "entries")
     deepest = base.agg(F.max("depth")).first()[0]
     levels, below = [], None
@@ -68,7 +70,7 @@ def folder_digests(files: DataFrame, folders: DataFrame, incomplete: DataFrame |
             level = level.join(sums, "folder", "left")
         else:
             level = level.withColumns({"children": F.lit(None).cast("string"), "cb": F.lit(None).cast("bigint"), "cn": F.lit(None).cast("bigint"), "cc": F.lit(None).cast("boolean")})
-        complete = F.coalesce("hashed", F.lit(True)) & F.coalesce("cc", F.lit(True)) & F.col("bad").isNull()
+        complete = F.coalesce("cc", F.lit(True)) & F.col("bad").isNull()
         digest = F.sha2(framed(F.coalesce("entries", F.lit("")), F.coalesce("children", F.lit(""))), 256)
         below = materialize(
             level.select("folder", F.when(complete, digest).alias("digest"), (F.coalesce("bytes", F.lit(0)) + F.coalesce("cb", F.lit(0))).alias("total_bytes"), (F.coalesce("n", F.lit(0)) + F.coalesce("cn", F.lit(0))).alias("file_count"), complete.alias("complete")),

@@ -14,7 +14,7 @@ from dupscape.operators import content, exact, images, inventory, library, names
 from dupscape.operators.graph import connected_components
 from dupscape.operators.incremental import STAMP, changed_rows, versions
 from dupscape.operators.inventory import ScanOptions
-from dupscape.paths import name, parent
+from dupscape.paths import ancestors, name, parent
 from dupscape.session import materialize
 from dupscape.sources.books import drm_status
 
@@ -317,7 +317,7 @@ def q22_content_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
             SELECT first, second, list_filter(list_transform(list_filter(string_split(x, '.'), lambda p: length(p) >= 24), lambda p: trim(substring(p, 1, 100), ' ')), lambda p: p <> '' AND contains(y, lower(p))) AS found FROM t))""")
 def q23_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = _table(spark, sf_dir, "ebook_documents").where(READY)
-    found = content.with_evidence(content.content_matches(books, "book_id", "text"), books, "book_id", "text", r"\\.")
+    found = content.with_evidence(content.content_matches(books, "book_id", "text"), books, "book_id", "text", r"\.")
     return found.select(F.concat_ws("|", F.col("first").cast("string"), F.col("second").cast("string")).alias("match_id"), F.array_join("evidence", " ~ ").alias("evidence"))
 
 
@@ -338,7 +338,7 @@ def q24_content_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _tree(spark: SparkSession, sf_dir: str, path, value) -> tuple[DataFrame, DataFrame]:
     rows = _table(spark, sf_dir, "lineitem").groupBy(path.alias("path")).agg(value.alias("v"))
     files = rows.select("path", F.lit(1).cast("bigint").alias("size"), F.sha2(F.col("v").cast("string"), 256).alias("full_hash"))
-    return files, files.select(parent("path").alias("path")).distinct()
+    return files, files.select(F.explode(ancestors("path")).alias("path")).where("path <> '/'").distinct()
 
 
 @query("""WITH f AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_quantity) AS v FROM lineitem GROUP BY 1, 2),
