@@ -321,7 +321,17 @@ def q23_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.concat_ws("|", F.col("first").cast("string"), F.col("second").cast("string")).alias("match_id"), F.array_join("evidence", " ~ ").alias("evidence"))
 
 
-@query()
+_EXT = "'(.)\\.[^.]*$', '\\1'"
+PREFILTER_SQL = f"""books AS (SELECT book_id AS id, lower(regexp_replace(regexp_replace(regexp_replace(replace(coalesce(title, regexp_extract(file_path, '([^/]*)$', 1)), '/', ' ') || '.x', {_EXT}), {_EXT}),
+        '(\\s*[-_ ]?(copy|副本|重复|备份|\\(\\d+\\)|（\\d+）))+$', '', 'i')) AS low FROM ebook_documents WHERE state = 'ready'),
+    keys AS (SELECT id, regexp_replace(low, '[\\s\\p{{Z}}\\p{{P}}]+', '', 'g') AS key FROM books),
+    gr AS (SELECT DISTINCT id, key, CASE WHEN length(key) < 3 THEN key ELSE substring(key, i, 3) END AS gram FROM keys, LATERAL (SELECT unnest(range(1, greatest(length(key) - 1, 2))) AS i) WHERE key <> ''),
+    gn AS (SELECT id, count(*) AS n FROM gr GROUP BY id), small AS (SELECT gram FROM gr GROUP BY gram HAVING count(*) BETWEEN 2 AND 300),
+    gp AS (SELECT a.id AS x, b.id AS y, any_value(a.key) = any_value(b.key) AS same, count(*) AS c, count_if(a.gram IN (FROM small)) AS few FROM gr a JOIN gr b ON a.gram = b.gram AND a.id < b.id GROUP BY 1, 2),
+    candidates AS (SELECT x, y FROM gp JOIN gn p ON p.id = x JOIN gn q ON q.id = y WHERE same OR (few > 0 AND c / (p.n + q.n - c) >= 0.42))"""
+
+
+@query(f"WITH {MATCH_SQL}, {PREFILTER_SQL} SELECT first, second, round(similarity, 9) AS similarity FROM w JOIN candidates ON x = first AND y = second WHERE similarity >= 0.48")
 def q24_content_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content matches among books whose names make them candidates (bucket bound 300, as an option)."""
     books = _table(spark, sf_dir, "ebook_documents").where(READY).withColumn("name", F.coalesce("title", name("file_path")))

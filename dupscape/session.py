@@ -44,8 +44,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/dupscape/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in this application's part of it."""
+    return f"{shared_dir(spark).rstrip('/')}/dupscape/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this application materialized; call it when no result that builds on it is needed any more."""
+    drop_path(spark, f"{shared_dir(spark).rstrip('/')}/dupscape/{spark.sparkContext.applicationId}")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
