@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from dupscape.llm.lookalikes import comparable, slices
 from dupscape.llm.near_edits import mix
@@ -202,6 +203,7 @@ def leaked_items(
     blocks = max(1, -(-2 * total // block_chars)) if total > block_chars else 1
     kinds = f"{key} {documents.schema[key].dataType.simpleString()}, {item_key} {items.schema['item'].dataType.simpleString()}"
     types = [documents.schema[key].dataType, items.schema["item"].dataType]
+    item_type = to_arrow_type(items.schema["item"].dataType)
     scan = spread(documents.select(key, text).where(F.col(text).isNotNull()))
     out = None
     for number in range(blocks):
@@ -218,7 +220,7 @@ def leaked_items(
                     rows = [(a + d, x.ids[i]) for x in indexes for d, i in x.search(cps, offsets, hashes, similarity)]
                     if rows:
                         taken = keys.take(pa.array([d for d, _ in rows]))
-                        yield pa.RecordBatch.from_arrays([taken, pa.array([i for _, i in rows], pa.from_numpy_dtype(np.int64) if isinstance(rows[0][1], int) else None)], names=[key, item_key])
+                        yield pa.RecordBatch.from_arrays([taken, pa.array([i for _, i in rows], item_type)], names=[key, item_key])
 
         found = scan.mapInArrow(search, kinds)
         out = found if out is None else out.unionByName(found)
