@@ -31,13 +31,20 @@ def size_candidates(files: DataFrame) -> DataFrame:
 
 
 def sample_candidates(files: DataFrame, content: str = "content", block: int = BLOCK) -> DataFrame:
-    """Of files that share a size those that share a sample too, with ``sample``."""
-    return repeated(size_candidates(files).withColumn("sample", sample_hash(F.col(content), block)), ["size", "sample"])
+    """Files that share size and sample with another, with ``sample``. Content is hashed in the scan and never shuffled."""
+    sampled = files.withColumn("sample", sample_hash(F.col(content), block)).drop(content)
+    return repeated(sampled, ["size", "sample"])
 
 
 def hashed_candidates(files: DataFrame, content: str = "content", block: int = BLOCK) -> DataFrame:
-    """Candidates with ``full_hash``; what is alone by size or sample is never hashed whole."""
-    return repeated(sample_candidates(files, content, block).withColumn("full_hash", content_hash(F.col(content))).drop(content), ["full_hash"])
+    """Files that share size, sample and ``full_hash`` with another.
+
+    Content that is a column is read by the scan anyway, and hashing it there costs less than a shuffle of it would;
+    so the scan gives both hashes, and the steps run over narrow rows. Where each read costs, over real files, the
+    pipeline of :mod:`dupscape.plans.engine` hashes only what the step before left.
+    """
+    hashed = files.withColumn("sample", sample_hash(F.col(content), block)).withColumn("full_hash", content_hash(F.col(content))).drop(content)
+    return repeated(hashed, ["size", "sample", "full_hash"])
 
 
 def duplicate_groups(hashed: DataFrame) -> DataFrame:
