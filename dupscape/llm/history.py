@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dupscape.functions.text import symbols, winnow
 from dupscape.session import materialize
 
 #: Bytes that a sample covers: below, the sample is the whole file.
@@ -102,6 +103,41 @@ def known_records(prints: DataFrame, history: DataFrame | None = None, history_f
     return found.groupBy("record").agg(F.min(best).alias("b")).select("record", "b.earlier", "b.kind", "b.coverage")
 
 
+def text_fingerprints(texts: DataFrame, record: str, batch: str, text: str) -> DataFrame:
+    """``(record, batch, prints)``: winnowed fingerprints of each text; texts too short for one have no row."""
+    rows = texts.where(F.col(record).isNotNull() & F.col(batch).isNotNull() & F.col(text).isNotNull())
+    rows = rows.select(F.col(record).alias("record"), F.col(batch).alias("batch"), winnow(symbols(F.col(text))).alias("prints"))
+    return rows.where(F.size("prints") > 0)
+
+
+def overlapping_records(texts: DataFrame, least: float = 0.8, salt_block: int = 256) -> DataFrame:
+    """``(record, earlier, coverage)``: each text of which a text of an earlier batch covers ``least`` or more of the fingerprints.
+
+    ``texts`` is what :func:`text_fingerprints` gives; ``earlier`` is the smallest record with the greatest coverage. Texts with
+    equal fingerprints are one class, so copies cost one lookup a batch. The Bloom filter drops the fingerprints that no
+    earlier batch holds, and with them every class that has too few left to reach ``least``; the rest are looked up in
+    the store, a fingerprint held by very many classes over several salts, and the shared ones counted exactly.
+    """
+    classed = materialize(texts.withColumn("cls", F.sha2(F.array_join(F.array_sort("prints"), ","), 256)), "text-prints")
+    held = classed.groupBy("cls", "batch").agg(F.min("record").alias("earliest"))
+    sets = classed.groupBy("cls").agg(F.first("prints").alias("prints")).withColumn("n", F.size("prints"))
+    each = sets.select("cls", "n", F.explode("prints").alias("p")).select("cls", "n", F.to_binary(F.hex("p"), F.lit("hex")).alias("print"), F.lit("text").alias("kind"), F.lit(0).cast("bigint").alias("size"))
+    postings = materialize(each.join(held.select("cls", "batch"), "cls"), "postings")
+    words = max(64, postings.count() // PER_WORD)
+    passed = materialize(prescreened(postings, filter_rows(postings, words), words), "passed")
+    able = passed.groupBy("cls", "batch", "n").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= F.col("n") * (least - 1e-9)).select("cls", "batch")
+    new = passed.join(able, ["cls", "batch"], "left_semi").select("cls", "n", "batch", "print").distinct()
+    store = postings.select("print", F.col("cls").alias("other")).distinct()
+    sizes = store.groupBy("print").agg(F.ceil(F.count(F.lit(1)) / salt_block).cast("int").alias("salts"))
+    left = new.join(sizes, "print").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    right = store.join(sizes, "print").withColumn("salt", F.pmod(F.xxhash64("other"), F.col("salts")).cast("int")).drop("salts")
+    shared = left.join(right, ["print", "salt"]).groupBy("cls", "batch", "n", "other").agg(F.count(F.lit(1)).alias("shared"))
+    covered = shared.withColumn("coverage", F.col("shared") / F.col("n")).where(F.col("coverage") >= least)
+    old = held.select(F.col("cls").alias("other"), F.col("batch").alias("before"), "earliest")
+    best = covered.join(old, "other").where("before < batch").groupBy("cls", "batch").agg(F.min(F.struct((-F.col("coverage")).alias("c"), F.col("earliest").alias("e"))).alias("b"))
+    return classed.select("record", "cls", "batch").distinct().join(best, ["cls", "batch"]).select("record", F.col("b.e").alias("earlier"), (-F.col("b.c")).alias("coverage"))
+
+
 class HistoryIndex:
     """Filter and store in a folder, one sub-folder a batch, so that a batch written twice counts once.
 

@@ -4,7 +4,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from dupscape.llm.components import component_ids, linked_groups
-from dupscape.llm.history import HistoryIndex, file_fingerprints, known_records, usable_hash
+from dupscape.functions.text import winnowed
+from dupscape.llm.history import HistoryIndex, file_fingerprints, known_records, overlapping_records, text_fingerprints, usable_hash
 from dupscape.llm.survivors import is_real, learned_precedence, style, survivors
 
 
@@ -109,3 +110,27 @@ def test_learned_precedence_places_undated_values(spark, rows):
     out = survivors(df, "g", "id", {"title": F.col("title")}, [], when="dated", learned={"title": levels})
     assert [r for r in rows(out) if r[0] in "uwz"] == [("u", "title", 2), ("w", "title", 1), ("z", "title", 2)]
     assert df.select(style(F.col("title"))).distinct().count() == 2
+
+
+def test_text_overlaps_equal_brute_force(spark, rows):
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    books = [prose(120) for _ in range(6)]
+    data = []
+    for i in range(40):
+        words = rng.choice(books).split()
+        for _ in range(rng.choice([0, 0, 1, 3, 8])):
+            words[rng.randrange(len(words))] = "edited"
+        data.append((i, rng.randrange(1, 5), " ".join(words[: rng.choice([60, 120])])))
+    data += [(100, 2, None), (101, 3, ""), (102, None, books[0]), (None, 2, books[0]), (103, 4, "short")]
+    df = spark.createDataFrame([(*d, "x") for d in data], "id bigint, batch int, text string, record string")
+    squeeze = lambda t: "".join(c for c in t.lower() if c.isalnum())
+    sets = {i: (b, set(winnowed(squeeze(t)).tolist())) for i, b, t in data if i is not None and b is not None and t and len(squeeze(t)) >= 18}
+    want = []
+    for i, (b, s) in sets.items():
+        best = min(((-len(s & o) / len(s), j) for j, (c, o) in sets.items() if c < b and len(s & o) / len(s) >= 0.8), default=None)
+        if best:
+            want.append((i, best[1], -best[0]))
+    for block in (256, 2):
+        assert rows(overlapping_records(text_fingerprints(df, "id", "batch", "text"), salt_block=block)) == sorted(want, key=str)
+    assert want and rows(overlapping_records(text_fingerprints(df.limit(0), "id", "batch", "text"))) == []
