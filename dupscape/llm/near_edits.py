@@ -172,7 +172,7 @@ def near_duplicate_classes(
             )
 
     reps = materialize(distinct, "texts")
-    banded = spread(reps, ["digest", "form"]).mapInArrow(sign, "digest binary, band bigint, n int")
+    banded = materialize(spread(reps, ["digest", "form"]).mapInArrow(sign, "digest binary, band bigint, n int"), "bands")
     pairs = salted_pairs(banded, ["band"], "digest", ["n"])
     candidates = pairs.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")).select("digest_a", "digest_b").distinct()
     a = reps.select(F.col("digest").alias("digest_a"), F.col("form").alias("form_a"))
