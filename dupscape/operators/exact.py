@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dupscape.session import ranked
+
 #: Bytes of one sampled block; larger files than three of them are sampled at their start, middle and end.
 BLOCK = 65_536
 
@@ -53,14 +55,9 @@ def duplicate_groups(hashed: DataFrame) -> DataFrame:
     return sums.withColumn("reclaimable_bytes", (F.col("file_count") - 1) * F.col("size"))
 
 
-def group_files(hashed: DataFrame) -> DataFrame:
-    """Groups with their path-sorted files as one array, for reports; arrays are as long as groups, so keep large jobs in the long form."""
-    return hashed.groupBy("full_hash").agg(F.array_sort(F.collect_list("path")).alias("files")).where(F.size("files") > 1)
-
-
 def ranked_groups(groups: DataFrame) -> DataFrame:
     """Position of each group, most reclaimable first; a total order of groups, for paging."""
-    return groups.withColumn("position", F.row_number().over(Window.orderBy(F.desc("reclaimable_bytes"), "full_hash")))
+    return ranked(groups, [F.desc("reclaimable_bytes"), F.asc("full_hash")])
 
 
 def summary(hashed: DataFrame) -> DataFrame:

@@ -16,25 +16,30 @@ def connected_components(edges: DataFrame, first: str, second: str) -> DataFrame
     """
     spark = edges.sparkSession
     pairs = edges.select(F.col(first).alias("u"), F.col(second).alias("v")).where("u is not null and v is not null")
-    links = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    loops = pairs.where("u = v").select(F.col("u").alias("member"), F.col("u").alias("component"))
+    links = pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     seen, old = None, []
     while True:
         path = scratch(spark, "links")
         links.write.parquet(path)
         links = spark.read.schema(links.schema).parquet(path)
-        check = links.where("u <> v").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        check = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         for p in old:
             drop_path(spark, p)
         old = [path]
-        if seen == (check.n, check.h):
+        if seen == (check.n, check.h) or not check.n:
             break
         seen = (check.n, check.h)
-        # large star: each larger neighbour of a vertex is linked with the least of the vertex and its neighbours
+        # large star: the larger neighbours of a vertex are linked with the least of the vertex and all its neighbours;
+        # its link with a smaller neighbour is seen from there
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(both.join(least, "u").where("v = u").select("u", F.col("m").alias("v")))
-        # small star: the smaller neighbours, and the vertex, are linked with their least
-        small = large.distinct()
-        low = small.groupBy("u").agg(F.min("v").alias("m"))
-        links = small.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-    return links.groupBy(F.col("u").alias("member")).agg(F.min("v").alias("component"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # small star: the smaller neighbours of a vertex, and the vertex, are linked with their least
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+    found = links.groupBy(F.col("u").alias("member")).agg(F.min("v").alias("component"))
+    roots = found.select(F.col("component").alias("member"), "component").distinct()
+    linked = found.unionByName(roots)
+    return linked.unionByName(loops.distinct().join(linked.select("member"), "member", "left_anti"))

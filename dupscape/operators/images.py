@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dupscape.functions.bits import bands, clamp, nearest
-from dupscape.operators.graph import connected_components
 from dupscape.session import materialize
 
 
@@ -43,36 +41,47 @@ def near_signatures(classes: DataFrame, threshold: int) -> DataFrame:
 def similar_image_groups(images: DataFrame, threshold: int = 8) -> DataFrame:
     """``(rep_path, path, distance, similarity)``: images and the leader they belong to, groups of two or more.
 
-    In path order an image joins the earliest leader within the threshold, or becomes one; nothing is chained. The order
-    matters only within a linked part of the similarity graph, so parts are led one by one, over signatures, not files.
+    In path order an image joins the earliest leader within the threshold, or becomes one; nothing is chained. Leaders are
+    found in rounds over signatures, not files.
     ``similarity`` is that of the group's farthest member.
     """
     t = clamp(threshold)
     members, classes = signature_classes(images)
     classes = materialize(classes, "leads")
     links = materialize(near_signatures(classes, t), "near")
-    parts = connected_components(links, "a", "b")
-    linked = links.select("a", "b", "distance").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-    nodes = parts.select(F.col("member").alias("a"), "component").join(classes.select(F.col("cls").alias("a"), "lead"), "a").join(linked.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("b", "distance"))).alias("near")), "a")
-
-    def lead(part: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[str] = []
-        number: dict[str, int] = {}
-        out = []
-        for row in part.sort_values("lead").itertuples():
-            near = dict(row.near)
-            mine = min((number[x] for x in near if x in number), default=None)
-            if mine is None:
-                number[row.a] = len(leaders)
-                leaders.append(row.a)
-                out.append((row.a, row.a, 0))
-            else:
-                out.append((row.a, leaders[mine], int(near[leaders[mine]])))
-        return pd.DataFrame(out, columns=["cls", "leader", "distance"])
-
-    led = nodes.groupBy("component").applyInPandas(lead, "cls string, leader string, distance int")
-    alone = classes.select("cls").join(links.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_anti").select("cls", F.col("cls").alias("leader"), F.lit(0).alias("distance"))
-    led = materialize(led.unionByName(alone), "led")
+    first, second = classes.select(F.col("cls").alias("a"), F.col("lead").alias("la")), classes.select(F.col("cls").alias("b"), F.col("lead").alias("lb"))
+    sides = links.join(first, "a").join(second, "b")
+    turned = F.col("la") > F.col("lb")
+    # from the earlier signature to the later one
+    ahead = materialize(sides.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("early"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("late"), F.least("la", "lb").alias("lead"), "distance"), "ahead")
+    leaders = materialize(leading(ahead.select("early", "late"), classes.select("cls")), "leaders")
+    joins = ahead.join(leaders.withColumnRenamed("cls", "early"), "early", "left_semi").join(leaders.withColumnRenamed("cls", "late"), "late", "left_anti")
+    joined = joins.groupBy("late").agg(F.min(F.struct("lead", "early", "distance")).alias("m")).select(F.col("late").alias("cls"), F.col("m.early").alias("leader"), F.col("m.distance").alias("distance"))
+    led = materialize(joined.unionByName(leaders.select("cls", F.col("cls").alias("leader"), F.lit(0).alias("distance"))), "led")
     files = members.join(led, "cls").join(classes.select(F.col("cls").alias("leader"), F.col("lead").alias("rep_path")), "leader").select("rep_path", "path", "distance")
     sums = files.groupBy("rep_path").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far")).where("n > 1").select("rep_path", (1 - F.col("far") / 64).alias("similarity"))
     return files.join(sums, "rep_path")
+
+
+def leading(ahead: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(cls)`` of ``nodes`` that lead: in order, a node leads if no earlier leader is its neighbour (``ahead(early, late)``).
+
+    In each round the nodes without an undecided earlier neighbour lead, and their later neighbours do not; both are
+    decided, which is what going through the nodes one by one would decide. No part of the graph is brought into one task.
+    """
+    out = nodes.join(ahead.select(F.col("late").alias("cls")).distinct(), "cls", "left_anti")
+    if ahead.isEmpty():
+        return out
+    open_, edges = None, ahead
+    found = out
+    while True:
+        settled = materialize(edges.join(found.withColumnRenamed("cls", "early"), "early", "left_semi").select(F.col("late").alias("cls")).distinct(), "settled")
+        gone = found.unionByName(settled)
+        rest = edges.join(gone.withColumnRenamed("cls", "late"), "late", "left_anti")
+        left = rest.select(F.col("late").alias("cls")) if open_ is None else open_.join(gone, "cls", "left_anti")
+        open_ = materialize(left.distinct(), "open")
+        edges = materialize(rest.join(gone.withColumnRenamed("cls", "early"), "early", "left_anti"), "edges")
+        if open_.isEmpty():
+            return out
+        found = materialize(open_.join(edges.select(F.col("late").alias("cls")).distinct(), "cls", "left_anti"), "found")
+        out = out.unionByName(found)

@@ -42,18 +42,32 @@ def framed(*parts: Column) -> Column:
     return F.concat(*[F.concat(F.octet_length(p).cast("string"), F.lit(":"), p) for p in parts])
 
 
+def _tally(entry: Column, name: str) -> list[Column]:
+    """A set of entries as four sums of 60 bits of their hashes: adds up in any order and in parts, unlike a list.
+
+    Names are unique in a folder, so entries are; equal sums of different sets would need a collision of 240 bits.
+    """
+    hashed = F.sha2(entry, 256)
+    return [F.sum(F.conv(F.substring(hashed, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).alias(f"{name}{i}") for i in range(4)]
+
+
+def _tallied(name: str) -> Column:
+    return F.concat_ws(",", *[F.coalesce(F.col(f"{name}{i}").cast("string"), F.lit("")) for i in range(4)])
+
+
 def folder_digests(files: DataFrame, folders: DataFrame, incomplete: DataFrame | None = None) -> DataFrame:
     """``(folder, digest, total_bytes, file_count, complete)``: one digest of the whole tree below each folder.
 
     A digest covers the names, sizes and hashes of a folder's files and the names and digests of its folders, so that
     equal digests mean equal trees, empty folders included. ``folders(path)`` lists the folders; others have no digest and add
     nothing to those above. A folder is incomplete, and has no digest, if a file below has no hash or a folder below
-    (``incomplete.path``) was not read. Levels are built from the deepest up, one aggregation each.
+    (``incomplete.path``) was not read. Levels are built from the deepest up, one aggregation each, and a folder's entries are
+    summed, not listed, so a folder with very many files is pre-aggregated like any other.
     """
     known = folders.select(F.col("path").alias("folder")).distinct()
     known = materialize(known.withColumn("depth", F.when(F.col("folder") == "/", 0).otherwise(F.size(F.split("folder", "/")) - 1)), "folders")
     entry = framed(F.lit("f"), F.element_at(F.split("path", "/"), -1), F.col("size").cast("string"), F.coalesce("full_hash", F.lit("")))
-    own = files.groupBy(parent("path").alias("folder")).agg(F.array_join(F.sort_array(F.collect_list(entry)), "").alias("entries"), F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    own = files.groupBy(parent("path").alias("folder")).agg(*_tally(entry, "f"), F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
     bad = files.where("full_hash is null").select(F.explode(ancestors("path")).alias("folder"))
     if incomplete is not None:
         bad = bad.unionByName(incomplete.select(F.explode(F.array_append(ancestors("path"), F.col("path"))).alias("folder")))
@@ -66,12 +80,12 @@ def folder_digests(files: DataFrame, folders: DataFrame, incomplete: DataFrame |
         level = base.where(F.col("depth") == depth)
         if below is not None:
             child = framed(F.lit("d"), F.element_at(F.split("folder", "/"), -1), F.coalesce("digest", F.lit("")))
-            sums = below.groupBy(parent("folder").alias("folder")).agg(F.array_join(F.sort_array(F.collect_list(child)), "").alias("children"), F.sum("total_bytes").alias("cb"), F.sum("file_count").alias("cn"), F.bool_and("complete").alias("cc"))
+            sums = below.groupBy(parent("folder").alias("folder")).agg(*_tally(child, "d"), F.sum("total_bytes").alias("cb"), F.sum("file_count").alias("cn"), F.count(F.lit(1)).alias("dn"), F.bool_and("complete").alias("cc"))
             level = level.join(sums, "folder", "left")
         else:
-            level = level.withColumns({"children": F.lit(None).cast("string"), "cb": F.lit(None).cast("bigint"), "cn": F.lit(None).cast("bigint"), "cc": F.lit(None).cast("boolean")})
+            level = level.withColumns({**{f"d{i}": F.lit(None).cast("decimal(30,0)") for i in range(4)}, "cb": F.lit(None).cast("bigint"), "cn": F.lit(None).cast("bigint"), "dn": F.lit(None).cast("bigint"), "cc": F.lit(None).cast("boolean")})
         complete = F.coalesce("cc", F.lit(True)) & F.col("bad").isNull()
-        digest = F.sha2(framed(F.coalesce("entries", F.lit("")), F.coalesce("children", F.lit(""))), 256)
+        digest = F.sha2(framed(_tallied("f"), F.coalesce("n", F.lit(0)).cast("string"), _tallied("d"), F.coalesce("dn", F.lit(0)).cast("string")), 256)
         below = materialize(
             level.select("folder", F.when(complete, digest).alias("digest"), (F.coalesce("bytes", F.lit(0)) + F.coalesce("cb", F.lit(0))).alias("total_bytes"), (F.coalesce("n", F.lit(0)) + F.coalesce("cn", F.lit(0))).alias("file_count"), complete.alias("complete")),
             "level",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dupscape.functions.text import grams, name_key, prefilter_key
 from dupscape.operators.graph import connected_components
-from dupscape.session import materialize
+from dupscape.session import materialize, ranked
 
 
 def _classes(files: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
@@ -99,6 +99,8 @@ def match_groups(matches: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def ranked_groups(groups: DataFrame, most: int | None = None) -> DataFrame:
-    """Positions for paging: largest file first (unknown last), then score, then id."""
-    out = groups.withColumn("position", F.row_number().over(Window.orderBy(F.coalesce("largest", F.lit(-1)).desc(), F.desc("highest_score"), "group_id")))
-    return out.where(F.col("position") <= most) if most else out
+    """Positions for paging: largest file first (unknown last), then score, then id; ``most`` is a page's length."""
+    order = [F.coalesce("largest", F.lit(-1)).desc(), F.desc("highest_score"), F.asc("group_id")]
+    if most is None:
+        return ranked(groups, order)
+    return groups.orderBy(*order).limit(most).withColumn("position", F.row_number().over(Window.orderBy(*order)))

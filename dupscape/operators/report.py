@@ -33,11 +33,18 @@ def write_csv(members: DataFrame, folder: str, upper: bool = False) -> None:
     csv_lines(members, upper).select(split.alias(header)).write.mode("overwrite").option("header", True).option("quote", "").option("sep", "\x01").csv(folder)
 
 
-def json_rows(members: DataFrame) -> DataFrame:
-    """``(full_hash, json)``: one JSON object a group, its files sorted by path."""
+def json_rows(members: DataFrame, most: int = 10_000) -> DataFrame:
+    """``(full_hash, json)``: one JSON object a group, its files sorted by path.
+
+    A group of more than ``most`` files comes in parts, numbered from 0, so that no task ever holds a larger list than
+    about that; every part states the whole group's sums.
+    """
+    sums = members.groupBy("full_hash").agg(F.count(F.lit(1)).alias("_n"), F.min("size").alias("_size")).where("_n > 1").withColumn("parts", F.ceil(F.col("_n") / most).cast("int"))
+    rows = members.join(sums, "full_hash").withColumn("part", F.pmod(F.xxhash64("path"), F.col("parts")).cast("int"))
     file = F.struct("path", "size", F.date_format("modified_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("modified_at"), "is_network")
-    groups = members.groupBy("full_hash").agg(F.sort_array(F.collect_list(file)).alias("files")).where(F.size("files") > 1)
-    return groups.select("full_hash", F.to_json(F.struct("files", "full_hash", ((F.size("files") - 1) * F.get("files", F.lit(0))["size"]).alias("reclaimable_bytes"))).alias("json"))
+    groups = rows.groupBy("full_hash", "part", "parts", "_n", "_size").agg(F.sort_array(F.collect_list(file)).alias("files"))
+    whole = F.struct("files", F.col("_n").alias("file_count"), "full_hash", "part", "parts", ((F.col("_n") - 1) * F.col("_size")).alias("reclaimable_bytes"))
+    return groups.select("full_hash", F.to_json(whole).alias("json"))
 
 
 def write_json(members: DataFrame, folder: str) -> None:

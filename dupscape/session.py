@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Settings for sessions that this package starts itself; a caller's session is never changed.
 DEFAULTS = {
@@ -85,3 +86,21 @@ def spread(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     df = df.select(*columns) if columns else df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def ranked(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """``df`` with each row's position from 1 on in a total order, without bringing all rows into one task.
+
+    Rows are parted by ranges of the order, numbered in each part, and moved on by the sizes of the parts before; the
+    sizes, one number a part, are the only thing that the driver sees.
+    """
+    spark = df.sparkSession
+    parted = materialize(df.repartitionByRange(width(spark), *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = sorted((r._part, r.n) for r in parted.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
+    before, total = [], 0
+    for part, n in sizes:
+        before += [F.lit(part), F.lit(total).cast("bigint")]
+        total += n
+    number = F.row_number().over(Window.partitionBy("_part").orderBy(*order)).cast("bigint")
+    offset = F.try_element_at(F.create_map(*before), F.col("_part")) if before else F.lit(0)
+    return parted.withColumn(name, number + F.coalesce(offset, F.lit(0))).drop("_part")
