@@ -30,16 +30,15 @@ def start(master: str = "local[*]", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, one machine) a temporary folder takes its place.
+    Where the setting is absent, the context's own checkpoint folder serves; only without either (tests, one machine) a
+    temporary folder takes their place, and becomes the context's.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(spark, "_dupscape_dir", None)
-        if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="dupscape-")
-            spark._dupscape_dir = found
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    given = context._jsc.sc().getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or (given.get() if given.isDefined() else None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="dupscape-")
+    if given.isEmpty():
         context.setCheckpointDir(found)
     return found
 
