@@ -346,8 +346,8 @@ def q24_content_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tree(spark: SparkSession, sf_dir: str, path, value) -> tuple[DataFrame, DataFrame]:
-    rows = _table(spark, sf_dir, "lineitem").groupBy(path.alias("path")).agg(value.alias("v"))
-    files = rows.select("path", F.lit(1).cast("bigint").alias("size"), F.sha2(F.col("v").cast("string"), 256).alias("full_hash"))
+    rows = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(value.alias("v"))
+    files = materialize(rows.select(path.alias("path"), F.lit(1).cast("bigint").alias("size"), F.sha2(F.col("v").cast("string"), 256).alias("full_hash")), "tree")
     return files, files.select(F.explode(ancestors("path")).alias("path")).where("path <> '/'").distinct()
 
 
