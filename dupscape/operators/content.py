@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dupscape.functions.text import classification, evidence, symbols, winnow
+from dupscape.functions.text import classification, evidence, normalize_text, symbols, winnow
 from dupscape.operators.names import pair_id
 from dupscape.session import materialize, spread
 
@@ -14,10 +14,14 @@ LEVELS = {"strict": 0.72, "standard": 0.48, "loose": 0.28}
 NAME_LEVELS = {"strict": 0.55, "standard": 0.42, "loose": 0.30}
 
 
-def fingerprints(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, prints)`` by winnowing the text's symbols; texts below 18 symbols have an empty array."""
-    rows = spread(documents.select(key, symbols(F.col(text)).alias("_s")).where(F.col(text).isNotNull()))
-    return rows.select(key, winnow("_s").alias("prints"))
+def fingerprints(documents: DataFrame, key: str, text: str, normalize: bool = True) -> DataFrame:
+    """``(key, prints)`` by winnowing the normalised text's symbols; texts below 18 symbols have an empty array.
+
+    ``normalize=False`` takes the texts as they are.
+    """
+    rows = spread(documents.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_t")))
+    value = normalize_text(F.col("_t")) if normalize else F.col("_t")
+    return rows.select(key, winnow(symbols(value)).alias("prints"))
 
 
 def score(both: Column, first: Column, second: Column) -> Column:
@@ -26,15 +30,15 @@ def score(both: Column, first: Column, second: Column) -> Column:
     return 0.72 * (2 * a * b / F.greatest(F.lit(1e-4), a + b)) + 0.28 * F.greatest(a, b)
 
 
-def content_matches(documents: DataFrame, key: str, text: str, level: str = "standard", candidates: DataFrame | None = None) -> DataFrame:
+def content_matches(documents: DataFrame, key: str, text: str, level: str = "standard", candidates: DataFrame | None = None, normalize: bool = True) -> DataFrame:
     """``(first, second, similarity, first_coverage, second_coverage, classification)`` of pairs at or above the level.
 
     Texts with equal fingerprint sets are one class, so a text copied very often is compared once; class pairs are then given
     their documents. A fingerprint common to n classes meets the others by salted blocks. A pair without a common
     fingerprint cannot reach any level, so the inverted join finds every pair that the comparison of all would.
-    ``candidates(first, second)`` restricts the result to pairs chosen before.
+    ``candidates(first, second)`` restricts the result to pairs chosen before. Texts are normalised unless ``normalize`` is false.
     """
-    prints = materialize(fingerprints(documents, key, text).where(F.size("prints") > 0).withColumn("cls", F.sha2(F.array_join("prints", ","), 256)), "prints")
+    prints = materialize(fingerprints(documents, key, text, normalize).where(F.size("prints") > 0).withColumn("cls", F.sha2(F.array_join("prints", ","), 256)), "prints")
     classes = materialize(prints.groupBy("cls").agg(F.first("prints").alias("prints")).withColumn("n", F.size("prints")), "classes")
     members = prints.select(F.col(key).alias("id"), "cls").distinct()
     each = classes.select("cls", "n", F.explode("prints").alias("print"))
@@ -57,10 +61,11 @@ def content_matches(documents: DataFrame, key: str, text: str, level: str = "sta
     return out.withColumn("classification", classification(F.col("similarity"), F.col("first_coverage"), F.col("second_coverage")))
 
 
-def with_evidence(matches: DataFrame, documents: DataFrame, key: str, text: str, delimiter: str = "[。；]") -> DataFrame:
-    """``matches`` with ``match_id`` and up to three excerpts of the first text that the second holds."""
-    a = documents.select(F.col(key).alias("first"), F.col(text).alias("_a")).dropDuplicates(["first"])
-    b = documents.select(F.col(key).alias("second"), F.col(text).alias("_b")).dropDuplicates(["second"])
+def with_evidence(matches: DataFrame, documents: DataFrame, key: str, text: str, delimiter: str = "[。；]", normalize: bool = True) -> DataFrame:
+    """``matches`` with ``match_id`` and up to three excerpts of the first text, normalised as for the matches, that the second holds."""
+    value = normalize_text(F.col(text)) if normalize else F.col(text)
+    a = documents.select(F.col(key).alias("first"), value.alias("_a")).dropDuplicates(["first"])
+    b = documents.select(F.col(key).alias("second"), value.alias("_b")).dropDuplicates(["second"])
     joined = matches.join(a, "first").join(b, "second")
     found = joined.withColumn("evidence", evidence(F.col("_a"), F.col("_b"), delimiter))
     return found.withColumn("match_id", pair_id(F.col("first").cast("string"), F.col("second").cast("string"))).drop("_a", "_b")

@@ -281,13 +281,22 @@ def _winnow_sql(key: str, table: str, where: str = "") -> str:
     return WINNOW_SQL.replace("{key}", key).replace("{table}", table).replace("{where}", where)
 
 
-@query(f"WITH {_winnow_sql('book_id', 'ebook_documents')} SELECT id AS book_id, count(*) AS n, sum(print)::VARCHAR AS total FROM prints GROUP BY id")
-def q20_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of each book: their number and sum as unsigned values."""
-    prints = content.fingerprints(_table(spark, sf_dir, "ebook_documents"), "book_id", "text").where(F.size("prints") > 0)
+def _print_sums(prints: DataFrame) -> DataFrame:
     unsigned = lambda x: F.when(x < 0, x.cast("decimal(38,0)") + F.lit("18446744073709551616").cast("decimal(38,0)")).otherwise(x.cast("decimal(38,0)"))
     total = F.aggregate("prints", F.lit(0).cast("decimal(38,0)"), lambda s, x: (s + unsigned(x)).cast("decimal(38,0)"))
-    return prints.select("book_id", F.size("prints").cast("bigint").alias("n"), total.cast("string").alias("total"))
+    return prints.where(F.size("prints") > 0).select("book_id", F.size("prints").cast("bigint").alias("n"), total.cast("string").alias("total"))
+
+
+@query(f"WITH {_winnow_sql('book_id', 'ebook_documents')} SELECT id AS book_id, count(*) AS n, sum(print)::VARCHAR AS total FROM prints GROUP BY id")
+def q20_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each book's raw text, as the SQL states them: their number and sum as unsigned values."""
+    return _print_sums(content.fingerprints(_table(spark, sf_dir, "ebook_documents"), "book_id", "text", normalize=False))
+
+
+@query()
+def q20n_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the normalised texts; DuckDB has no NFKC, so no SQL states q20n to q24n."""
+    return _print_sums(content.fingerprints(_table(spark, sf_dir, "ebook_documents"), "book_id", "text"))
 
 
 READY = "state = 'ready'"
@@ -298,17 +307,48 @@ MATCH_SQL = f"""{_winnow_sql('book_id', 'ebook_documents', "AND state = 'ready'"
     w AS (SELECT *, 0.72 * (2 * first_coverage * second_coverage / greatest(0.0001, first_coverage + second_coverage)) + 0.28 * greatest(first_coverage, second_coverage) AS similarity FROM v)"""
 
 
+def _ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "ebook_documents").where(READY)
+
+
+def _rounded(found: DataFrame) -> DataFrame:
+    return found.withColumns({c: F.round(c, 9) for c in ("similarity", "first_coverage", "second_coverage")})
+
+
+def _levels(found: DataFrame) -> DataFrame:
+    return found.agg(F.count_if(F.col("similarity") >= 0.72).alias("strict"), F.count_if(F.col("similarity") >= 0.48).alias("standard"), F.count(F.lit(1)).alias("loose"))
+
+
+def _evidence(spark: SparkSession, sf_dir: str, normalize: bool) -> DataFrame:
+    books = _ready(spark, sf_dir)
+    matches = content.content_matches(books, "book_id", "text", normalize=normalize)
+    found = content.with_evidence(matches, books, "book_id", "text", r"\.", normalize)
+    return found.select(F.concat_ws("|", F.col("first").cast("string"), F.col("second").cast("string")).alias("match_id"), F.array_join("evidence", " ~ ").alias("evidence"))
+
+
 @query(f"""WITH {MATCH_SQL} SELECT first, second, round(similarity, 9) AS similarity, round(first_coverage, 9) AS first_coverage, round(second_coverage, 9) AS second_coverage,
     CASE WHEN similarity >= 0.82 AND least(first_coverage, second_coverage) >= 0.72 THEN 'high' WHEN similarity >= 0.58 THEN 'much' ELSE 'partial' END AS classification FROM w WHERE similarity >= 0.48""")
 def q21_content_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = content.content_matches(_table(spark, sf_dir, "ebook_documents").where(READY), "book_id", "text")
-    return found.withColumns({c: F.round(c, 9) for c in ("similarity", "first_coverage", "second_coverage")})
+    """Matches of the raw texts, as the SQL states them."""
+    return _rounded(content.content_matches(_ready(spark, sf_dir), "book_id", "text", normalize=False))
+
+
+@query()
+def q21n_content_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of the normalised texts."""
+    return _rounded(content.content_matches(_ready(spark, sf_dir), "book_id", "text"))
 
 
 @query(f"WITH {MATCH_SQL} SELECT count_if(similarity >= 0.72) AS strict, count_if(similarity >= 0.48) AS standard, count(*) AS loose FROM w WHERE similarity >= 0.28")
 def q22_content_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = content.content_matches(_table(spark, sf_dir, "ebook_documents").where(READY), "book_id", "text", "loose")
-    return found.agg(F.count_if(F.col("similarity") >= 0.72).alias("strict"), F.count_if(F.col("similarity") >= 0.48).alias("standard"), F.count(F.lit(1)).alias("loose"))
+    """Matches of the raw texts by level, as the SQL states them."""
+    return _levels(content.content_matches(_ready(spark, sf_dir), "book_id", "text", "loose", normalize=False))
+
+
+@query()
+def q22n_content_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of the normalised texts by level."""
+    return _levels(content.content_matches(_ready(spark, sf_dir), "book_id", "text", "loose"))
 
 
 @query(f"""WITH {MATCH_SQL}, t AS (SELECT first, second, a.text AS x, lower(b.text) AS y FROM w JOIN ebook_documents a ON a.book_id = first JOIN ebook_documents b ON b.book_id = second WHERE similarity >= 0.48)
@@ -316,9 +356,14 @@ def q22_content_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT first, second, list_filter(found, lambda p, i: list_position(found, p) = i) AS list_distinct_in_order FROM (
             SELECT first, second, list_filter(list_transform(list_filter(string_split(x, '.'), lambda p: length(p) >= 24), lambda p: trim(substring(p, 1, 100), ' ')), lambda p: p <> '' AND contains(y, lower(p))) AS found FROM t))""")
 def q23_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    books = _table(spark, sf_dir, "ebook_documents").where(READY)
-    found = content.with_evidence(content.content_matches(books, "book_id", "text"), books, "book_id", "text", r"\.")
-    return found.select(F.concat_ws("|", F.col("first").cast("string"), F.col("second").cast("string")).alias("match_id"), F.array_join("evidence", " ~ ").alias("evidence"))
+    """Evidence in the raw texts, as the SQL states it."""
+    return _evidence(spark, sf_dir, normalize=False)
+
+
+@query()
+def q23n_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence in the normalised texts."""
+    return _evidence(spark, sf_dir, normalize=True)
 
 
 _EXT = "'(.)\\.[^.]*$', '\\1'"
@@ -339,7 +384,7 @@ def q24_content_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = names.candidate_names(files, content.NAME_LEVELS["standard"], 300, compose=False)
     number = lambda c: F.split(c, "/")[1].cast("bigint")
     ids = pairs.select(F.least(number("first_path"), number("second_path")).alias("first"), F.greatest(number("first_path"), number("second_path")).alias("second"))
-    return content.content_matches(books, "book_id", "text", candidates=ids).withColumn("similarity", F.round("similarity", 9)).select("first", "second", "similarity")
+    return content.content_matches(books, "book_id", "text", candidates=ids, normalize=False).withColumn("similarity", F.round("similarity", 9)).select("first", "second", "similarity")
 
 
 # --- folders --------------------------------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ import io
 import posixpath
 import re
 import struct
+import unicodedata
 import zipfile
 import zlib
 from urllib.parse import unquote
@@ -169,7 +170,7 @@ def extract(data: bytes | None, kind: str) -> tuple[str | None, str, str | None]
         return None, "unsupported", str(error)
     except Exception as error:  # noqa: BLE001 - any malformed file is a result of its own
         return None, "failed", f"{type(error).__name__}: {error}"
-    text = re.sub(r"\s+", " ", re.sub(r"(?m)^[ \t]*\d{1,5}[ \t]*$", " ", text)).strip()
+    text = re.sub(r"\s+", " ", re.sub(r"(?m)^[ \t]*\d{1,5}[ \t]*$", " ", unicodedata.normalize("NFKC", text))).strip()
     if len(text) < READY_LENGTH:
         return text, "scannedPDF" if kind == "pdf" else "tooShort", None
     return text, "ready", None
