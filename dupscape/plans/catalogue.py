@@ -202,18 +202,18 @@ PAIRS_SQL = f"""{GRAMS_SQL}, c AS (
 
 @query(f"SELECT file_path AS path, {KEY_SQL} AS key FROM ebook_files")
 def q13_name_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _inventory(spark, sf_dir).select("path", name_key(name("path"), compose=False).alias("key"))
+    return _inventory(spark, sf_dir).select("path", name_key(name("path")).alias("key"))
 
 
 @query(f"WITH {PAIRS_SQL} SELECT match_id, first_path, second_path, round(score, 9) AS score FROM pairs WHERE score >= 0.55")
 def q14_name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names.name_matches(_inventory(spark, sf_dir), 0.55, compose=False).withColumn("score", F.round("score", 9))
+    return names.name_matches(_inventory(spark, sf_dir), 0.55).withColumn("score", F.round("score", 9))
 
 
 @query(f"""WITH {PAIRS_SQL} SELECT match_id, round(score, 9) AS score FROM pairs WHERE score >= 0.85 AND sa IS NOT NULL AND sb IS NOT NULL
     AND CASE WHEN greatest(sa, sb) = 0 THEN 1 ELSE least(sa, sb) / greatest(sa, sb) END >= 0.6""")
 def q15_name_pairs_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names.name_matches(_inventory(spark, sf_dir), 0.85, compose=False).select("match_id", F.round("score", 9).alias("score"))
+    return names.name_matches(_inventory(spark, sf_dir), 0.85).select("match_id", F.round("score", 9).alias("score"))
 
 
 MATCHED_SQL = "m AS (SELECT first_path AS a, second_path AS b, score FROM filename_matches WHERE first_path IS NOT NULL AND second_path IS NOT NULL AND score >= 0.8)"
@@ -376,15 +376,25 @@ PREFILTER_SQL = f"""books AS (SELECT book_id AS id, lower(regexp_replace(regexp_
     candidates AS (SELECT x, y FROM gp JOIN gn p ON p.id = x JOIN gn q ON q.id = y WHERE same OR (few > 0 AND c / (p.n + q.n - c) >= 0.42))"""
 
 
-@query(f"WITH {MATCH_SQL}, {PREFILTER_SQL} SELECT first, second, round(similarity, 9) AS similarity FROM w JOIN candidates ON x = first AND y = second WHERE similarity >= 0.48")
-def q24_content_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content matches among books whose names make them candidates (bucket bound 300, as an option)."""
-    books = _table(spark, sf_dir, "ebook_documents").where(READY).withColumn("name", F.coalesce("title", name("file_path")))
+def _prefiltered(spark: SparkSession, sf_dir: str, bucket: int, whole: bool) -> DataFrame:
+    books = _ready(spark, sf_dir).withColumn("name", F.coalesce("title", name("file_path")))
     files = books.select(F.concat(F.lit("/"), F.col("book_id").cast("string"), F.lit("/"), F.replace("name", F.lit("/"), F.lit(" ")), F.lit(".x")).alias("path"), F.col("file_size").alias("size"))
-    pairs = names.candidate_names(files, content.NAME_LEVELS["standard"], 300, compose=False)
+    pairs = names.candidate_names(files, content.NAME_LEVELS["standard"], bucket, compose=whole)
     number = lambda c: F.split(c, "/")[1].cast("bigint")
     ids = pairs.select(F.least(number("first_path"), number("second_path")).alias("first"), F.greatest(number("first_path"), number("second_path")).alias("second"))
-    return content.content_matches(books, "book_id", "text", candidates=ids, normalize=False).withColumn("similarity", F.round("similarity", 9)).select("first", "second", "similarity")
+    return content.content_matches(books, "book_id", "text", candidates=ids, normalize=whole).withColumn("similarity", F.round("similarity", 9)).select("first", "second", "similarity")
+
+
+@query(f"WITH {MATCH_SQL}, {PREFILTER_SQL} SELECT first, second, round(similarity, 9) AS similarity FROM w JOIN candidates ON x = first AND y = second WHERE similarity >= 0.48")
+def q24_content_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content matches of raw texts among books whose raw names make them candidates (bucket bound 300, as an option), as the SQL states them."""
+    return _prefiltered(spark, sf_dir, 300, whole=False)
+
+
+@query()
+def q24n_content_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content matches of normalised texts among books whose composed names make them candidates."""
+    return _prefiltered(spark, sf_dir, 300, whole=True)
 
 
 # --- folders --------------------------------------------------------------------------------------------------------

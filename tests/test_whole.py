@@ -65,3 +65,55 @@ def test_extracted_text_is_composed(monkeypatch):
     monkeypatch.setitem(books.READERS, "epub", lambda data: data.decode())
     text, state, _ = books.extract(("ﬁｎ\n １２ \n" * 100).encode(), "epub")
     assert state == "ready" and text == " ".join(["fin"] * 100)
+
+
+def wide(name):
+    return "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" and c not in "./" else c for c in name)
+
+
+def test_names_are_composed(spark, tmp_path):
+    rows = [(1, "/a/The Long Book.pdf", 100), (2, f"/b/{wide('The Long Book')}.pdf", 100), (3, "/c/Other.pdf", 100)]
+    files = spark.createDataFrame(rows, "file_id bigint, file_path string, file_size bigint")
+    files = files.withColumns({"modified_at": F.current_timestamp(), "is_network": F.lit(False), "drm_status": F.lit("unknown")})
+    files.write.parquet(f"{tmp_path}/ebook_files.parquet")
+    run = lambda n: entry.queries()[n](spark, str(tmp_path)).collect()
+    assert sorted(r.key for r in run("q13_name_key")) == ["other", "thelongbook", "thelongbook"]
+    assert [r.score for r in run("q14_name_pairs")] == [1.0] and [r.score for r in run("q15_name_pairs_strict")] == [1.0]
+
+
+def name_grams(title):
+    for _ in range(2):
+        title = re.sub(r"(?<=.)\.[^.]*$", "", title)
+    key = re.sub(r"(?i)(\s*[-_ ]?(copy|副本|重复|备份|\(\d+\)|（\d+）))+$", "", title)
+    key = plain(unicodedata.normalize("NFKC", key))
+    return key, {key[i : i + 3] for i in range(len(key) - 2)} or {key} - {""}
+
+
+def candidates_by_definition(titles, least=0.42):
+    grams = {k: name_grams(t) for k, t in titles.items()}
+    return {(a, b) for a, (_, g) in grams.items() for b, (_, h) in grams.items() if a < b and g and h and len(g & h) / len(g | h) >= least}
+
+
+@pytest.fixture
+def composed_books(spark, tmp_path):
+    """Books whose texts or titles agree only in the composed form."""
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(120))
+    titles = ["The Long Book", wide("The Long Book"), "The Long Books", "Unlike", None]
+    rows = [(i, f"/{i}/{wide('The Long Book')}.pdf", t, wide(text) if i % 2 else text, 5, "ready") for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "book_id bigint, file_path string, title string, text string, file_size bigint, state string").write.parquet(f"{tmp_path}/ebook_documents.parquet")
+    return str(tmp_path)
+
+
+def prefiltered_by_definition(spark, folder):
+    ready = spark.read.parquet(f"{folder}/ebook_documents.parquet").where("state = 'ready'").collect()
+    titles = {r.book_id: (r.file_path.rsplit("/", 1)[-1] if r.title is None else r.title.replace("/", " ")) + ".x" for r in ready}
+    chosen = candidates_by_definition(titles)
+    return {k: v for k, v in matches_by_definition({r.book_id: r.text for r in ready}).items() if k in chosen}
+
+
+def test_q24n_by_brute_force(spark, composed_books):
+    for folder in [composed_books, *[FOLDER] * os.path.isdir(FOLDER)]:
+        found = {(r.first, r.second): r.similarity for r in entry.queries()["q24n_content_prefiltered"](spark, folder).collect()}
+        assert found == prefiltered_by_definition(spark, folder)
+        assert folder == FOLDER or set(found) >= {(0, 1), (0, 2), (1, 2), (0, 4)} and not any(3 in k for k in found)
