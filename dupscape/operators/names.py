@@ -65,11 +65,11 @@ def name_matches(files: DataFrame, least: float = 0.55, name: Column | None = No
     return pairs.select(pair_id(F.col("p"), F.col("q")).alias("match_id"), F.least("p", "q").alias("first_path"), F.greatest("p", "q").alias("second_path"), "score")
 
 
-def candidate_names(files: DataFrame, least: float, bucket: int = 300, compose: bool = True) -> DataFrame:
+def candidate_names(files: DataFrame, least: float, bucket: int = 0, compose: bool = True) -> DataFrame:
     """``(first_path, second_path)`` likely to hold the same content by their names.
 
-    Only grams that 2 to ``bucket`` names share make candidates; equal keys always do. ``bucket=0`` sets no bound, which
-    gives every pair from ``least`` on.
+    Every pair from ``least`` on, and equal keys always. With a ``bucket``, an option that loses pairs, only grams that 2 to
+    ``bucket`` files share make candidates of different keys.
     """
     keyed, classes = _classes(files, prefilter_key(F.element_at(F.split("path", "/"), -1), compose))
     found = similar_keys(classes, least).select("a", "b")

@@ -393,8 +393,8 @@ def q24_content_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q24n_content_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content matches of normalised texts among books whose composed names make them candidates."""
-    return _prefiltered(spark, sf_dir, 300, whole=True)
+    """Content matches of normalised texts among books whose composed names make them candidates, without a bound on buckets."""
+    return _prefiltered(spark, sf_dir, 0, whole=True)
 
 
 # --- folders --------------------------------------------------------------------------------------------------------

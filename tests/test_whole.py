@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from dupscape.functions.text import winnowed
-from dupscape.operators import content
+from dupscape.operators import content, names
 from dupscape.sources import books
 
 FOLDER = "/root/testdata/sf0.001"
@@ -117,3 +117,10 @@ def test_q24n_by_brute_force(spark, composed_books):
         found = {(r.first, r.second): r.similarity for r in entry.queries()["q24n_content_prefiltered"](spark, folder).collect()}
         assert found == prefiltered_by_definition(spark, folder)
         assert folder == FOLDER or set(found) >= {(0, 1), (0, 2), (1, 2), (0, 4)} and not any(3 in k for k in found)
+
+
+def test_name_candidates_have_no_bound(spark):
+    titles = [t for t in ("Common Pattern One", "Common Pattern Two") for _ in range(160)]
+    files = spark.createDataFrame([(f"/{i}/{t}.x", 1) for i, t in enumerate(titles)], "path string, size bigint")
+    assert names.candidate_names(files, 0.42).count() == 320 * 319 // 2
+    assert names.candidate_names(files, 0.42, 300).count() == 2 * 160 * 159 // 2
