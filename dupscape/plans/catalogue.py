@@ -533,10 +533,11 @@ def q37_report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {MEMBERS_SQL} SELECT full_hash, count(*) AS files, min(path) AS first_path, (count(*) - 1) * min(size) AS reclaimable_bytes FROM members GROUP BY full_hash""")
 def q37b_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The JSON report read back."""
+    """The JSON report read back, the parts of a group put together."""
     kind = "files array<struct<path:string>>, full_hash string, reclaimable_bytes bigint"
     rows = report.json_rows(_report(spark, sf_dir)).select(F.from_json("json", kind).alias("j"))
-    return rows.select("j.full_hash", F.size("j.files").cast("bigint").alias("files"), F.get("j.files", F.lit(0))["path"].alias("first_path"), "j.reclaimable_bytes")
+    parts = rows.select("j.full_hash", F.size("j.files").cast("bigint").alias("files"), F.get("j.files", F.lit(0))["path"].alias("first_path"), "j.reclaimable_bytes")
+    return parts.groupBy("full_hash").agg(F.sum("files").alias("files"), F.min("first_path").alias("first_path"), F.max("reclaimable_bytes").alias("reclaimable_bytes"))
 
 
 @query("""SELECT file_id, CASE WHEN file_ext NOT IN ('mobi', 'azw', 'azw3') OR file_ext IS NULL THEN 'unknown' WHEN file_id % 3 = 0 THEN 'notDetected' ELSE 'suspected' END AS status FROM ebook_files""")

@@ -124,3 +124,11 @@ def test_name_candidates_have_no_bound(spark):
     files = spark.createDataFrame([(f"/{i}/{t}.x", 1) for i, t in enumerate(titles)], "path string, size bigint")
     assert names.candidate_names(files, 0.42).count() == 320 * 319 // 2
     assert names.candidate_names(files, 0.42, 300).count() == 2 * 160 * 159 // 2
+
+
+def test_report_has_one_row_a_group(spark, rows, tmp_path):
+    text = F.when(F.col("id") < 10_050, "same").when(F.col("id") < 10_052, "twice").otherwise(F.col("id").cast("string"))
+    docs = spark.range(10_060).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = entry.queries()["q37b_report_json"](spark, str(tmp_path))
+    assert rows(found, "files", "first_path", "reclaimable_bytes") == [(10_050, "/lib/s/en/doc-0.txt", 10_049 * 4), (2, "/lib/s/en/doc-10050.txt", 5)]
