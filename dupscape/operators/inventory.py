@@ -99,24 +99,26 @@ def below_roots(files: DataFrame, roots: Sequence[str], options: ScanOptions) ->
     return files.where(good).dropDuplicates(["path"])
 
 
-def one_per_identity(files: DataFrame, device: str = "device", inode: str = "inode", preferred: Column | None = None) -> DataFrame:
+def one_per_identity(files: DataFrame, device: str = "device", inode: str = "inode", preferred: Column | None = None, each: Sequence[str] = ()) -> DataFrame:
     """One path for each physical file, the smallest, preferred ones first; ``aliases`` counts its paths.
 
-    Files without identity stand for themselves.
+    Files without identity stand for themselves. ``each`` names columns, as the scan's, within which files are told apart.
     """
     known = F.col(device).isNotNull() & F.col(inode).isNotNull()
     order = [*([preferred.desc()] if preferred is not None else []), F.col("path")]
-    w = Window.partitionBy(device, inode)
+    w = Window.partitionBy(*each, device, inode)
     ranked = files.where(known).withColumn("_n", F.row_number().over(w.orderBy(*order))).withColumn("aliases", F.count(F.lit(1)).over(w)).where("_n = 1").drop("_n")
     return ranked.unionByName(files.where(~known).withColumn("aliases", F.lit(1).cast("bigint")))
 
 
-def complete_scopes(files: DataFrame, completed: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
+def complete_scopes(files: DataFrame, completed: DataFrame, blocked: DataFrame | None = None, each: Sequence[str] = ()) -> DataFrame:
     """Files whose folder was read completely (``completed.path``) and lies below no blocked folder (``blocked.path``).
 
-    Blocked folders are matched through each file's ancestors, an equi-join whatever their number.
+    Blocked folders are matched through each file's ancestors, an equi-join whatever their number. With
+    ``each``, columns of ``completed`` as the scan's, a file comes once for each of their values.
     """
-    kept = files.withColumn("_parent", parent("path")).join(completed.select(F.col("path").alias("_parent")).distinct(), "_parent", "left_semi").drop("_parent")
+    scopes = completed.select(*each, F.col("path").alias("_parent")).distinct()
+    kept = files.withColumn("_parent", parent("path")).join(scopes, "_parent", "inner" if each else "left_semi").drop("_parent")
     if blocked is None:
         return kept
 

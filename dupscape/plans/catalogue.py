@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dupscape.functions.bits import grid_hash
@@ -153,6 +153,15 @@ def q09_identity_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.one_per_identity(rows)
 
 
+@query("""WITH f AS (SELECT DISTINCT session_no, file_path AS path, device, inode FROM file_stamps WHERE file_path IS NOT NULL)
+    SELECT session_no, min(path) AS path, device, inode, count(*) AS aliases FROM f WHERE device IS NOT NULL AND inode IS NOT NULL GROUP BY session_no, device, inode
+    UNION ALL SELECT session_no, path, device, inode, 1 FROM f WHERE device IS NULL OR inode IS NULL""")
+def q09s_identity_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The identities of every session."""
+    rows = _table(spark, sf_dir, "file_stamps").where("file_path is not null").select("session_no", F.col("file_path").alias("path"), "device", "inode").distinct()
+    return inventory.one_per_identity(rows, each=["session_no"])
+
+
 @query("""SELECT file_path AS path FROM ebook_files f WHERE regexp_replace(file_path, '/[^/]*$', '') IN (SELECT regexp_replace(file_path, '/[^/]*$', '') FROM file_stamps WHERE session_no = 1)
     AND NOT starts_with(file_path, '/Volumes/Shelf/A/') AND NOT starts_with(file_path, '/Volumes/Attic/')""")
 def q09b_complete_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,6 +170,17 @@ def q09b_complete_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.complete_scopes(_inventory(spark, sf_dir), done, blocked).select("path")
 
 
+@query("""WITH s AS (SELECT DISTINCT session_no, regexp_replace(file_path, '/[^/]*$', '') AS folder FROM file_stamps WHERE session_no IN (SELECT session_no FROM scan_sessions WHERE status = 'completed'))
+    SELECT session_no, file_path AS path FROM ebook_files JOIN s ON folder = regexp_replace(file_path, '/[^/]*$', '')
+    WHERE NOT starts_with(file_path, '/Volumes/Shelf/A/') AND NOT starts_with(file_path, '/Volumes/Attic/')""")
+def q09bs_complete_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scopes of every completed session; the others did not read their folders to the end."""
+    completed = _table(spark, sf_dir, "scan_sessions").where("status = 'completed'").select("session_no")
+    done = _table(spark, sf_dir, "file_stamps").join(completed, "session_no", "left_semi").select("session_no", parent("file_path").alias("path"))
+    blocked = spark.createDataFrame([("/Volumes/Shelf/A",), ("/Volumes/Attic",)], "path string")
+    return inventory.complete_scopes(_inventory(spark, sf_dir), done, blocked, ["session_no"]).select("session_no", "path")
+
+
 # --- one library against another ------------------------------------------------------------------------------------
 
 IN_A = "regexp_matches(path, '^/lib/shelf-main/')"
@@ -508,6 +528,41 @@ def q33_hash_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.reuse_hashes(_latest(spark, sf_dir, 4), cache, ["path"], list(STAMP), ["full_hash"]).select("path", "full_hash")
 
 
+_STAMPS = ", ".join(STAMP)
+STEPS_SQL = f"""done AS (SELECT DISTINCT session_no FROM scan_sessions WHERE status = 'completed'), steps AS (SELECT session_no, lead(session_no) OVER (ORDER BY session_no) AS following FROM done),
+    b AS (SELECT DISTINCT ON (session_no, file_path) session_no, file_path, {_STAMPS} FROM file_stamps WHERE session_no IN (FROM done) AND file_path IS NOT NULL
+        ORDER BY session_no, file_path, observed_at DESC NULLS LAST, ingested_at DESC NULLS LAST),
+    a AS (SELECT following AS session_no, file_path, {_STAMPS} FROM b JOIN steps USING (session_no) WHERE following IS NOT NULL)"""
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The files of the completed session before each completed one, under the later one's number, and the files of each; nothing is before the first."""
+    done = _table(spark, sf_dir, "scan_sessions").where("status = 'completed'").select("session_no").distinct()
+    seen = versions(_table(spark, sf_dir, "file_stamps").join(done, "session_no", "left_semi"))
+    seen = materialize(seen.select("session_no", F.col("file_path").alias("path"), "version.*"), "seen")
+    # sessions are few: one row a scan
+    following = done.withColumn("following", F.lead("session_no").over(Window.orderBy("session_no"))).where("following is not null")
+    old = seen.join(following, "session_no").drop("session_no").withColumnRenamed("following", "session_no")
+    return old, seen
+
+
+@query(f"""WITH {STEPS_SQL} SELECT coalesce(a.session_no, b.session_no) AS session_no, coalesce(a.file_path, b.file_path) AS path,
+    CASE WHEN a.file_path IS NULL THEN 'added' WHEN b.file_path IS NULL THEN 'deleted' WHEN {_SAME} THEN 'unchanged' ELSE 'modified' END AS change
+    FROM a FULL JOIN b ON a.file_path = b.file_path AND a.session_no = b.session_no""")
+def q32s_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each completed session against the completed one before it; all files of the first are added."""
+    old, new = _steps(spark, sf_dir)
+    return state.reconcile(old, new, ["session_no", "path"], STAMP)
+
+
+@query(f"WITH {STEPS_SQL} SELECT b.session_no, b.file_path AS path, CASE WHEN {_SAME} AND a.file_path IS NOT NULL THEN sha256(a.file_path) END AS full_hash FROM b LEFT JOIN a ON a.file_path = b.file_path AND a.session_no = b.session_no")
+def q33s_hash_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hashes that each completed session can take from the completed one before it."""
+    old, new = _steps(spark, sf_dir)
+    cache = old.withColumn("full_hash", F.sha2("path", 256))
+    return exact.reuse_hashes(new, cache, ["session_no", "path"], list(STAMP), ["full_hash"]).select("session_no", "path", "full_hash")
+
+
 @query("""WITH o AS (SELECT DISTINCT unnest(roots) AS path FROM scan_sessions WHERE session_no <= 4), n AS (SELECT DISTINCT unnest(roots) AS path FROM scan_sessions WHERE session_no > 4)
     SELECT path FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.path = n.path OR starts_with(o.path, n.path || '/') OR starts_with(n.path, o.path || '/'))""")
 def q35_root_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:

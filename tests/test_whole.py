@@ -132,3 +132,20 @@ def test_report_has_one_row_a_group(spark, rows, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     found = entry.queries()["q37b_report_json"](spark, str(tmp_path))
     assert rows(found, "files", "first_path", "reclaimable_bytes") == [(10_050, "/lib/s/en/doc-0.txt", 10_049 * 4), (2, "/lib/s/en/doc-10050.txt", 5)]
+
+
+def test_every_session_appears(spark, rows, tmp_path):
+    sessions = [(1, "completed"), (2, "completed"), (3, "interrupted"), (5, "completed")]
+    stamps = [(1, "/a/x", 7), (1, "/a/y", 7), (2, "/a/x", 7), (2, "/a/y", 8), (3, "/a/y", 9), (5, "/b/y", 8), (5, "/a/y", 8), (5, "/b/z", None)]
+    spark.createDataFrame(sessions, "session_no int, status string").write.parquet(f"{tmp_path}/scan_sessions.parquet")
+    df = spark.createDataFrame(stamps, "session_no int, file_path string, inode bigint").withColumn("device", F.lit(1))
+    df = df.withColumns({c: F.lit(1).cast("bigint") for c in ("file_size", "modified_s", "modified_ns", "changed_s", "changed_ns")})
+    df.withColumns({c: F.lit(None).cast("timestamp") for c in ("observed_at", "ingested_at")}).write.parquet(f"{tmp_path}/file_stamps.parquet")
+    files = spark.createDataFrame([("/a/x",), ("/b/y",)], "file_path string").withColumns({"file_size": F.lit(1), "modified_at": F.current_timestamp(), "is_network": F.lit(False), "drm_status": F.lit("unknown")})
+    files.write.parquet(f"{tmp_path}/ebook_files.parquet")
+    run = lambda n, *c: rows(entry.queries()[n](spark, str(tmp_path)), "session_no", "path", *c)
+    assert run("q09s_identity_dedupe", "aliases") == [(1, "/a/x", 2), (2, "/a/x", 1), (2, "/a/y", 1), (3, "/a/y", 1), (5, "/a/y", 2), (5, "/b/z", 1)]
+    assert run("q09bs_complete_scopes") == [(1, "/a/x"), (2, "/a/x"), (5, "/a/x"), (5, "/b/y")]
+    changes = [(1, "/a/x", "added"), (1, "/a/y", "added"), (2, "/a/x", "unchanged"), (2, "/a/y", "modified"), (5, "/a/x", "deleted"), (5, "/a/y", "unchanged"), (5, "/b/y", "added"), (5, "/b/z", "added")]
+    assert run("q32s_reconcile", "change") == changes
+    assert [(s, p) for s, p, h in run("q33s_hash_reuse", "full_hash") if h] == [(2, "/a/x"), (5, "/a/y")]
