@@ -76,7 +76,9 @@ class IncrementalScan:
         rows = stamps
         if before is not None:
             fresh = sessions.where("status = 'completed'").where(~F.col("session_no").isin(last["done"])) if last["done"] else sessions.where("status = 'completed'")
-            late = stamps.where(F.col("ingested_at") >= F.lit(last["reread_from"]).cast("timestamp")) if last["reread_from"] else stamps
+            # a row with no time of arrival may have come since; a manifest with a text instead of microseconds is no bound
+            since = last["reread_from"] if isinstance(last["reread_from"], int) else None
+            late = stamps.where((F.col("ingested_at") >= F.timestamp_micros(F.lit(since))) | F.col("ingested_at").isNull()) if since is not None else stamps
             touched = late.select("file_path").unionByName(stamps.join(fresh.select("session_no"), "session_no", "left_semi").select("file_path")).distinct()
             rows = stamps.join(touched, "file_path", "left_semi")
         found = changed_rows(rows, sessions, self.fields)
@@ -86,11 +88,12 @@ class IncrementalScan:
         number = last["run"] + 1
         found.write.mode("overwrite").parquet(f"{self.folder}/runs/{number}")
         # sessions are few: one row a scan
-        open_since = sessions.where("status <> 'completed'").agg(F.min("started_at")).first()[0]
-        newest = stamps.agg(F.max("ingested_at")).first()[0]
+        micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+        open_since = sessions.where("status <> 'completed'").agg(F.min(micros("started_at"))).first()[0]
+        newest = stamps.agg(F.max(micros("ingested_at"))).first()[0]
         times = [t for t in (open_since, newest) if t is not None]
         done = sorted(r.session_no for r in sessions.where("status = 'completed'").select("session_no").distinct().collect())
-        state = json.dumps({"run": number, "reread_from": min(times).isoformat(sep=" ") if times else None, "done": done})
+        state = json.dumps({"run": number, "reread_from": min(times) if times else None, "done": done})
         path, files = self._path(f"manifests/{number}.json.part")
         out = files.create(path, True)
         out.write(bytearray(state.encode()))

@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import time
 import unicodedata
 
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from dupscape.functions.text import winnowed
 from dupscape.operators import content, names
+from dupscape.operators.incremental import STAMP, IncrementalScan
 from dupscape.sources import books
 
 FOLDER = "/root/testdata/sf0.001"
@@ -149,3 +151,33 @@ def test_every_session_appears(spark, rows, tmp_path):
     changes = [(1, "/a/x", "added"), (1, "/a/y", "added"), (2, "/a/x", "unchanged"), (2, "/a/y", "modified"), (5, "/a/x", "deleted"), (5, "/a/y", "unchanged"), (5, "/b/y", "added"), (5, "/b/z", "added")]
     assert run("q32s_reconcile", "change") == changes
     assert [(s, p) for s, p, h in run("q33s_hash_reuse", "full_hash") if h] == [(2, "/a/x"), (5, "/a/y")]
+
+
+@pytest.fixture
+def driver_ahead(monkeypatch):
+    """The driver's Python nine hours ahead of the session's time zone."""
+    monkeypatch.setenv("TZ", "Asia/Tokyo")
+    time.tzset()
+    yield
+    monkeypatch.undo()
+    time.tzset()
+
+
+@pytest.mark.parametrize("arrived", [None, 1_000_000 + 3600])
+def test_late_rows_are_given_out(spark, rows, tmp_path, driver_ahead, arrived):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    try:
+        sessions = spark.createDataFrame([(1, "completed", 1_000_000)], "session_no int, status string, at bigint").withColumn("started_at", F.timestamp_seconds("at"))
+
+        def stamps(*paths):
+            df = spark.createDataFrame(list(paths), "file_path string, at bigint").withColumn("session_no", F.lit(1))
+            return df.withColumns({c: F.lit(1).cast("bigint") for c in STAMP} | {c: F.timestamp_seconds("at") for c in ("observed_at", "ingested_at")})
+
+        scan = IncrementalScan(spark, f"file://{tmp_path}/ledger", STAMP)
+        assert rows(scan.run(stamps(("/a", 1_000_000)), sessions), "file_path") == [("/a",)]
+        grown = stamps(("/a", 1_000_000), ("/late", arrived))
+        assert rows(scan.run(grown, sessions), "file_path") == [("/late",)]
+        assert rows(scan.run(grown, sessions), "file_path") == []
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
