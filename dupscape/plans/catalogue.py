@@ -461,25 +461,43 @@ _BITS = " | ".join(
 )
 
 
-def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 72 code points of a text stand for an image's brightness grid; distinct hashes with the texts that have them."""
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 72 code points of a text stand for an image's brightness grid."""
     d = _table(spark, sf_dir, "documents").where("length(text) >= 72")
-    cells = F.transform(F.sequence(F.lit(1), F.lit(72)), lambda i: F.call_function("ascii", F.substring("text", i, F.lit(1))))
-    return d.select("doc_id", grid_hash(cells).alias("hash"))
+    return d.select("doc_id", F.transform(F.sequence(F.lit(1), F.lit(72)), lambda i: F.call_function("ascii", F.substring("text", i, F.lit(1)))).alias("cells"))
+
+
+def _hamming(spark: SparkSession, sf_dir: str, threshold: int) -> DataFrame:
+    hashes = _cells(spark, sf_dir).select(grid_hash(F.col("cells")).alias("hash")).distinct()
+    sets = hashes.select(F.col("hash").cast("string").alias("cls"), F.array("hash").alias("hashes"), F.lit(0.0).alias("mean"), F.lit(10.0).alias("deviation"))
+    return images.near_signatures(sets, threshold).groupBy(F.col("distance").cast("bigint").alias("distance")).agg(F.count(F.lit(1)).alias("pairs"))
 
 
 @query(f"""WITH h AS (SELECT DISTINCT {_BITS} AS h FROM (SELECT {GRID_SQL} AS cs FROM documents WHERE length(text) >= 72))
     SELECT bit_count(xor(a.h, b.h)) AS distance, count(*) AS pairs FROM h a JOIN h b ON a.h < b.h WHERE bit_count(xor(a.h, b.h)) <= 4 GROUP BY 1""")
 def q27_hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different hashes within four bits, by distance."""
-    sets = _grids(spark, sf_dir).select("hash").distinct().select(F.col("hash").cast("string").alias("cls"), F.array("hash").alias("hashes"), F.lit(0.0).alias("mean"), F.lit(10.0).alias("deviation"))
-    return images.near_signatures(sets, 4).groupBy(F.col("distance").cast("bigint").alias("distance")).agg(F.count(F.lit(1)).alias("pairs"))
+    return _hamming(spark, sf_dir, 4)
+
+
+@query(f"""WITH h AS (SELECT DISTINCT {_BITS} AS h FROM (SELECT {GRID_SQL} AS cs FROM documents WHERE length(text) >= 72))
+    SELECT bit_count(xor(a.h, b.h)) AS distance, count(*) AS pairs FROM h a JOIN h b ON a.h < b.h WHERE bit_count(xor(a.h, b.h)) <= 8 GROUP BY 1""")
+def q27d_hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same within the default of eight bits."""
+    return _hamming(spark, sf_dir, 8)
 
 
 @query()
 def q28_image_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _grids(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.array("hash").alias("hashes"), F.lit(120.0).alias("mean"), F.lit(20.0).alias("deviation"))
-    return images.similar_image_groups(rows, 4)
+    """Groups at the default threshold. Three hashes an image: of the grid, of its rows moved on by one, of it backwards."""
+    d = _cells(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), "cells")
+    moved = F.concat(F.slice("cells", 10, 63), F.slice("cells", 1, 9))
+    hashes = F.array(grid_hash(F.col("cells")), grid_hash(moved), grid_hash(F.reverse("cells")))
+    light = F.transform("cells", lambda x: (x % 256).cast("double"))
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+    d = d.select("path", hashes.alias("hashes"), light.alias("light")).withColumn("mean", total("light") / 72)
+    deviation = F.sqrt(total(F.transform("light", lambda x: (x - F.col("mean")) * (x - F.col("mean")))) / 72)
+    return images.similar_image_groups(d.select("path", "hashes", "mean", deviation.alias("deviation")))
 
 
 # --- review, state and reports --------------------------------------------------------------------------------------
