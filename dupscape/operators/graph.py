@@ -5,14 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dupscape.operators.skew import skewed_join
 from dupscape.session import drop_path, scratch
 
 
+#: Links of one vertex that a task takes without being spread.
+FEW = 100_000
+
+
+def _joined(links: DataFrame, values: DataFrame, hubs: bool) -> DataFrame:
+    return skewed_join(links, values, ["u"], ["v"], block=FEW) if hubs else links.join(values, "u")
+
+
 def connected_components(edges: DataFrame, first: str, second: str) -> DataFrame:
     """``(member, component)``: every end of an edge and the smallest value it is linked with, directly or not.
 
     Null ends link nothing; an edge between equal values makes a component of one. Each round is two aggregations; the
-    rounds end when no link changes, about a logarithm of the longest chain. State lies in the shared folder.
+    rounds end when no link changes, about a logarithm of the longest chain. The links of a hub, which every large
+    component ends in, are spread over tasks. State lies in the shared folder.
     """
     spark = edges.sparkSession
     pairs = edges.select(F.col(first).alias("u"), F.col(second).alias("v")).where("u is not null and v is not null")
@@ -34,10 +44,16 @@ def connected_components(edges: DataFrame, first: str, second: str) -> DataFrame
         # its link with a smaller neighbour is seen from there
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # with fewer links than a task may hold there is no hub to look for
+        hubs = 2 * check.n > FEW
+        large = _joined(both.where("v > u"), least, hubs).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        if hubs:
+            path = scratch(spark, "large")
+            large.write.parquet(path)
+            large, old = spark.read.schema(large.schema).parquet(path), [*old, path]
         # small star: the smaller neighbours of a vertex, and the vertex, are linked with their least
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _joined(large, low, hubs).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
     found = links.groupBy(F.col("u").alias("member")).agg(F.min("v").alias("component"))
     roots = found.select(F.col("component").alias("member"), "component").distinct()

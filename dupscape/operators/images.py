@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dupscape.functions.bits import bands, clamp, nearest
+from dupscape.operators.skew import salted_pairs
 from dupscape.session import materialize
 
 
@@ -26,12 +27,9 @@ def near_signatures(classes: DataFrame, threshold: int) -> DataFrame:
     """``(a, b, distance)`` of different signatures within the threshold, a < b."""
     t = clamp(threshold)
     classes = materialize(classes, "signature-classes")
-    keyed = classes.select("cls", F.explode("hashes").alias("h")).select("cls", F.explode(bands(F.col("h"), t)).alias("k")).select("cls", "k.band", "k.bits").distinct()
-    sizes = keyed.groupBy("band", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "bits", F.ceil(F.col("n") / 256).cast("int").alias("salts"))
-    keyed = keyed.join(sizes, ["band", "bits"])
-    x = keyed.select("band", "bits", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt"), F.col("cls").alias("a"))
-    y = keyed.select("band", "bits", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("cls").alias("b"))
-    pairs = x.join(y, ["band", "bits", "salt"]).where("a < b").select("a", "b").distinct()
+    keyed = classes.select("cls", F.explode("hashes").alias("h")).select("cls", F.explode(bands(F.col("h"), t)).alias("k")).select("cls", "k.band", "k.bits")
+    keyed = materialize(keyed.distinct(), "bands")
+    pairs = salted_pairs(keyed, ["band", "bits"], "cls").select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
     side = lambda c: classes.select(F.col("cls").alias(c), F.struct("hashes", "mean", "deviation").alias(f"s{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     d = distance(F.col("sa.hashes"), F.col("sb.hashes"), F.col("sa.mean"), F.col("sb.mean"), F.col("sa.deviation"), F.col("sb.deviation"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dupscape.functions.text import grams, name_key, prefilter_key
 from dupscape.operators.graph import connected_components
+from dupscape.operators.skew import salted_pairs, skewed_join
 from dupscape.session import materialize, ranked
 
 
@@ -17,20 +18,44 @@ def _classes(files: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
     return keyed, classes
 
 
+def bitmap(grams: Column) -> Column:
+    """256 bits, as four numbers, with one bit set for each gram's hash."""
+    place = lambda g: F.pmod(F.xxhash64(g), F.lit(256)).cast("int")
+    bit = lambda g: F.call_function("shiftleft", F.lit(1).cast("bigint"), place(g) % 64)
+    word = lambda i: F.aggregate(grams, F.lit(0).cast("bigint"), lambda s, g: F.when(F.floor(place(g) / 64) == i, s.bitwiseOR(bit(g))).otherwise(s))
+    return F.array(*[word(i) for i in range(4)])
+
+
+def most_shared(size_a: Column, size_b: Column, bits_a: Column, bits_b: Column) -> Column:
+    """A bound of the grams that two sets share: each differing bit stands for at least one gram that only one has."""
+    differ = F.bit_count(F.get(bits_a, F.lit(0)).bitwiseXOR(F.get(bits_b, F.lit(0))))
+    for i in range(1, 4):
+        differ = differ + F.bit_count(F.get(bits_a, F.lit(i)).bitwiseXOR(F.get(bits_b, F.lit(i))))
+    return (size_a + size_b - differ) / 2
+
+
 def similar_keys(classes: DataFrame, least: float) -> DataFrame:
     """``(a, b, score)`` for keys whose grams have a Jaccard similarity of ``least`` or more, a < b.
 
     Prefix filter: with a key's grams from the rarest on, two similar keys share one of their first n - ceil(least n) + 1.
-    Ceilings are taken in whole numbers a little low, so rounding never shortens a prefix. Only those grams are joined,
-    with the sizes' ratio; what is found is verified on the whole gram sets.
+    Ceilings are taken in whole numbers a little low, so rounding never shortens a prefix. Only those grams are joined, a
+    crowded one over salts. A pair leaves that join only if sizes, the place of the gram (what comes before it is not
+    shared, if it is the first shared one) and the bitmaps of both sets leave room for the needed overlap; the few that
+    remain are verified on the whole gram sets.
     """
     each = classes.select("key", "n", F.explode("grams").alias("gram"))
     frequency = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     ranked = each.join(frequency, "gram").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("df", "gram")))
-    prefix = materialize(ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-6) + 1).where("df > 1").select("key", "n", "gram"), "prefix")
-    a = prefix.select(F.col("key").alias("a"), F.col("n").alias("na"), "gram")
-    b = prefix.select(F.col("key").alias("b"), F.col("n").alias("nb"), "gram")
-    pairs = a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * (least - 1e-9))).select("a", "b").distinct()
+    prefix = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-6) + 1).where("df > 1").select("key", "gram", "place")
+    # rows of a key are few: as many as its grams
+    held = classes.select("key", "n", bitmap(F.col("grams")).alias("bits"))
+    prefix = materialize(prefix.join(held, "key").select("key", "n", "gram", "place", "bits"), "prefix")
+    pairs = salted_pairs(prefix, ["gram"], "key", ["n", "place", "bits"])
+    needed = (F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - 1e-6
+    near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (least - 1e-9)
+    room = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= needed
+    alike = most_shared(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b")) >= needed
+    pairs = materialize(pairs.where(near & room & alike).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct(), "candidates")
     left = classes.select(F.col("key").alias("a"), F.col("grams").alias("ga"))
     right = classes.select(F.col("key").alias("b"), F.col("grams").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
@@ -50,19 +75,36 @@ def pair_id(first: Column, second: Column) -> Column:
     return F.concat_ws("|", F.least(first, second), F.greatest(first, second))
 
 
+def name_classes(files: DataFrame, least: float = 0.55, name: Column | None = None, compose: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Files by equal key, and the links between keys: ``members(path, size, key)`` and ``links(a, b, score)``, a < b.
+
+    As large as the files and the similar keys, however many files carry one name. Files with an empty key have no class; a
+    path listed twice counts once.
+    """
+    members, classes = _classes(files, name_key(name if name is not None else F.element_at(F.split("path", "/"), -1), compose))
+    return members, materialize(similar_keys(classes, least), "links")
+
+
+def _expanded(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of files with equal keys, and pairs of files with linked keys; a key of very many files is spread over tasks."""
+    rows = members.select("key", F.struct("path", "size").alias("f"), "path")
+    same = salted_pairs(rows, ["key"], "path", ["f"]).select(F.col("f_a").alias("x"), F.col("f_b").alias("y"))
+    first = skewed_join(rows.select(F.col("key").alias("a"), F.col("f").alias("x")), links, ["a"], ["x"]).drop("a")
+    return same, skewed_join(rows.select(F.col("key").alias("b"), F.col("f").alias("y")), first, ["b"], ["y"]).drop("b")
+
+
 def name_matches(files: DataFrame, least: float = 0.55, name: Column | None = None, compose: bool = True) -> DataFrame:
     """``(match_id, first_path, second_path, score)`` of files with similar names; ``files`` has ``path`` and ``size``.
 
     Files with the same key match at 1. Keys are compared, not files: a name carried by many files is compared once, and the
-    result alone is as large as its pairs. Files with an empty key match nothing; a path listed twice counts once.
+    result alone is as large as its pairs; :func:`name_classes` states the same without them. Files with an empty key match
+    nothing; a path listed twice counts once.
     """
-    key = name_key(name if name is not None else F.element_at(F.split("path", "/"), -1), compose)
-    keyed, classes = _classes(files, key)
-    links = similar_keys(classes, least).unionByName(classes.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("score")))
-    x = keyed.select(F.col("key").alias("a"), F.col("path").alias("p"), F.col("size").alias("ps"))
-    y = keyed.select(F.col("key").alias("b"), F.col("path").alias("q"), F.col("size").alias("qs"))
-    pairs = links.join(x, "a").join(y, "b").where((F.col("a") != F.col("b")) | (F.col("p") < F.col("q"))).where(sizes_fit(F.col("ps"), F.col("qs"), least))
-    return pairs.select(pair_id(F.col("p"), F.col("q")).alias("match_id"), F.least("p", "q").alias("first_path"), F.greatest("p", "q").alias("second_path"), "score")
+    members, links = name_classes(files, least, name, compose)
+    same, cross = _expanded(members, links)
+    pairs = same.withColumn("score", F.lit(1.0)).unionByName(cross).where(sizes_fit(F.col("x.size"), F.col("y.size"), least))
+    p, q = F.col("x.path"), F.col("y.path")
+    return pairs.select(pair_id(p, q).alias("match_id"), F.least(p, q).alias("first_path"), F.greatest(p, q).alias("second_path"), "score")
 
 
 def candidate_names(files: DataFrame, least: float, bucket: int = 0, compose: bool = True) -> DataFrame:
@@ -79,9 +121,8 @@ def candidate_names(files: DataFrame, least: float, bucket: int = 0, compose: bo
         kept = each.select("key", "gram").distinct().join(small, "gram", "left_semi")
         share = kept.select(F.col("key").alias("a"), "gram").join(kept.select(F.col("key").alias("b"), "gram"), "gram").where("a < b").select("a", "b").distinct()
         found = found.join(share, ["a", "b"], "left_semi")
-    links = found.unionByName(classes.select(F.col("key").alias("a"), F.col("key").alias("b")))
-    pairs = links.join(keyed.select(F.col("key").alias("a"), F.col("path").alias("p")), "a").join(keyed.select(F.col("key").alias("b"), F.col("path").alias("q")), "b")
-    return pairs.where("a <> b or p < q").select(F.least("p", "q").alias("first_path"), F.greatest("p", "q").alias("second_path"))
+    same, cross = _expanded(keyed, found)
+    return same.unionByName(cross).select(F.least("x.path", "y.path").alias("first_path"), F.greatest("x.path", "y.path").alias("second_path"))
 
 
 def match_groups(matches: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -90,7 +131,8 @@ def match_groups(matches: DataFrame, sizes: DataFrame) -> DataFrame:
     The group's id is its smallest path. duplicate_bytes is all sizes but the largest, null if a size is unknown.
     """
     members = materialize(connected_components(matches, "first_path", "second_path"), "members")
-    best = matches.join(members, matches.first_path == members.member).groupBy("component").agg(F.max("score").alias("highest_score"))
+    ends = matches.select(F.col("first_path").alias("member"), "second_path", "score")
+    best = skewed_join(ends, members, ["member"], ["second_path"]).groupBy("component").agg(F.max("score").alias("highest_score"))
     known = members.join(sizes.select(F.col("path").alias("member"), "size").dropDuplicates(["member"]), "member", "left")
     sums = known.groupBy("component").agg(
         F.count(F.lit(1)).alias("file_count"), F.max("size").alias("largest"), F.when(F.count("size") == F.count(F.lit(1)), F.sum("size") - F.max("size")).alias("duplicate_bytes")

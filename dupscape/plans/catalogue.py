@@ -14,6 +14,7 @@ from dupscape.operators import content, exact, images, inventory, library, names
 from dupscape.operators.graph import connected_components
 from dupscape.operators.incremental import STAMP, changed_rows, versions
 from dupscape.operators.inventory import ScanOptions
+from dupscape.operators.skew import skewed_join
 from dupscape.paths import ancestors, name, parent
 from dupscape.session import materialize
 from dupscape.sources.books import drm_status
@@ -145,35 +146,19 @@ def q08_below_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.below_roots(_inventory(spark, sf_dir), ["/Volumes/Attic/inbox", "/Volumes/NAS-books"], options).select("path")
 
 
-@query("""WITH f AS (SELECT DISTINCT file_path AS path, device, inode FROM file_stamps WHERE session_no = 1 AND file_path IS NOT NULL)
-    SELECT min(path) AS path, device, inode, count(*) AS aliases FROM f WHERE device IS NOT NULL AND inode IS NOT NULL GROUP BY device, inode
-    UNION ALL SELECT path, device, inode, 1 FROM f WHERE device IS NULL OR inode IS NULL""")
-def q09_identity_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "file_stamps").where("session_no = 1 and file_path is not null").select(F.col("file_path").alias("path"), "device", "inode").distinct()
-    return inventory.one_per_identity(rows)
-
-
 @query("""WITH f AS (SELECT DISTINCT session_no, file_path AS path, device, inode FROM file_stamps WHERE file_path IS NOT NULL)
     SELECT session_no, min(path) AS path, device, inode, count(*) AS aliases FROM f WHERE device IS NOT NULL AND inode IS NOT NULL GROUP BY session_no, device, inode
     UNION ALL SELECT session_no, path, device, inode, 1 FROM f WHERE device IS NULL OR inode IS NULL""")
-def q09s_identity_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q09_identity_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The identities of every session."""
     rows = _table(spark, sf_dir, "file_stamps").where("file_path is not null").select("session_no", F.col("file_path").alias("path"), "device", "inode").distinct()
     return inventory.one_per_identity(rows, each=["session_no"])
 
 
-@query("""SELECT file_path AS path FROM ebook_files f WHERE regexp_replace(file_path, '/[^/]*$', '') IN (SELECT regexp_replace(file_path, '/[^/]*$', '') FROM file_stamps WHERE session_no = 1)
-    AND NOT starts_with(file_path, '/Volumes/Shelf/A/') AND NOT starts_with(file_path, '/Volumes/Attic/')""")
-def q09b_complete_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = _table(spark, sf_dir, "file_stamps").where("session_no = 1").select(parent("file_path").alias("path"))
-    blocked = spark.createDataFrame([("/Volumes/Shelf/A",), ("/Volumes/Attic",)], "path string")
-    return inventory.complete_scopes(_inventory(spark, sf_dir), done, blocked).select("path")
-
-
 @query("""WITH s AS (SELECT DISTINCT session_no, regexp_replace(file_path, '/[^/]*$', '') AS folder FROM file_stamps WHERE session_no IN (SELECT session_no FROM scan_sessions WHERE status = 'completed'))
     SELECT session_no, file_path AS path FROM ebook_files JOIN s ON folder = regexp_replace(file_path, '/[^/]*$', '')
     WHERE NOT starts_with(file_path, '/Volumes/Shelf/A/') AND NOT starts_with(file_path, '/Volumes/Attic/')""")
-def q09bs_complete_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q09b_complete_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scopes of every completed session; the others did not read their folders to the end."""
     completed = _table(spark, sf_dir, "scan_sessions").where("status = 'completed'").select("session_no")
     done = _table(spark, sf_dir, "file_stamps").join(completed, "session_no", "left_semi").select("session_no", parent("file_path").alias("path"))
@@ -196,13 +181,17 @@ def q11_unique_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.unique_targets(_hashed(spark, sf_dir), ["/lib/shelf-main"]).select("path", "size", "full_hash")
 
 
-@query(f"WITH {FILES_SQL} SELECT path, size FROM files WHERE false")
+@query(f"WITH {FILES_SQL} SELECT 'all read' AS case, path, size FROM files WHERE NOT {IN_A} AND (size, full_hash) NOT IN (SELECT (size, full_hash) FROM files WHERE {IN_A})")
 def q12_unique_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A reference file without a hash withholds every claim."""
-    first = F.col("path") == "/lib/shelf-main/none/unread.txt"
+    """Three cases: all files read; a reference file without a hash; an incomplete scan. Only the first may claim anything."""
     rows = _hashed(spark, sf_dir).select("path", "size", "full_hash")
     unread = spark.createDataFrame([("/lib/shelf-main/none/unread.txt", 5, None)], "path string, size bigint, full_hash string")
-    return library.unique_targets(rows.unionByName(unread).where(first | F.col("full_hash").isNotNull()), ["/lib/shelf-main"]).select("path", "size")
+    cases = {"all read": (rows, False), "one unread": (rows.unionByName(unread), False), "incomplete": (rows, True)}
+    out = None
+    for case, (files, incomplete) in cases.items():
+        found = library.unique_targets(files, ["/lib/shelf-main"], incomplete).select(F.lit(case).alias("case"), "path", "size")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 # --- file names -----------------------------------------------------------------------------------------------------
@@ -230,20 +219,32 @@ def q14_name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.name_matches(_inventory(spark, sf_dir), 0.55).withColumn("score", F.round("score", 9))
 
 
+@query(f"""WITH {GRAMS_SQL}, k AS (SELECT DISTINCT key, gram FROM g), kn AS (SELECT key, count(*) AS n FROM k GROUP BY key),
+    kc AS (SELECT a.key AS x, b.key AS y, count(*) AS c FROM k a JOIN k b ON a.gram = b.gram AND a.key <> b.key GROUP BY 1, 2),
+    links AS (SELECT x AS key, count(*) AS links FROM kc JOIN kn p ON p.key = x JOIN kn q ON q.key = y WHERE c / (p.n + q.n - c) >= 0.55 GROUP BY x)
+    SELECT path, key AS class_id, coalesce(links, 0) AS links FROM names LEFT JOIN links USING (key) WHERE key <> ''""")
+def q14c_name_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in one row a file: its key, and the number of other keys that are similar."""
+    members, links = names.name_classes(_inventory(spark, sf_dir), 0.55)
+    ends = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("links"))
+    return skewed_join(members, ends, ["key"], ["path"], "left").select("path", F.col("key").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+
+
 @query(f"""WITH {PAIRS_SQL} SELECT match_id, round(score, 9) AS score FROM pairs WHERE score >= 0.85 AND sa IS NOT NULL AND sb IS NOT NULL
     AND CASE WHEN greatest(sa, sb) = 0 THEN 1 ELSE least(sa, sb) / greatest(sa, sb) END >= 0.6""")
 def q15_name_pairs_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.name_matches(_inventory(spark, sf_dir), 0.85).select("match_id", F.round("score", 9).alias("score"))
 
 
-MATCHED_SQL = "m AS (SELECT first_path AS a, second_path AS b, score FROM filename_matches WHERE first_path IS NOT NULL AND second_path IS NOT NULL AND score >= 0.8)"
+MATCHED_SQL = "m AS (SELECT first_path AS a, second_path AS b, score FROM filename_matches WHERE first_path <> second_path)"
 COMPONENTS_SQL = f"""{MATCHED_SQL}, e AS (SELECT a, b FROM m UNION SELECT b, a FROM m),
     reach(member, other) AS (SELECT a, a FROM e UNION SELECT r.member, e.b FROM reach r JOIN e ON e.a = r.other),
     comp AS (SELECT member, min(other) AS component FROM reach GROUP BY member)"""
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "filename_matches").where("first_path is not null and second_path is not null and score >= 0.8").select("first_path", "second_path", "score")
+    """Every pair of two different files; a score says nothing about being linked."""
+    return _table(spark, sf_dir, "filename_matches").where("first_path <> second_path").select("first_path", "second_path", "score")
 
 
 @query(f"WITH RECURSIVE {COMPONENTS_SQL} SELECT member, component FROM comp")
@@ -359,6 +360,17 @@ def q21n_content_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(content.content_matches(_ready(spark, sf_dir), "book_id", "text"))
 
 
+@query(f"""WITH {MATCH_SQL}, sets AS (SELECT id, string_agg(print::VARCHAR, ',' ORDER BY print) AS fp FROM prints GROUP BY id),
+    ends AS (SELECT first AS id, b.fp FROM w JOIN sets b ON b.id = second WHERE similarity >= 0.48 UNION SELECT second, a.fp FROM w JOIN sets a ON a.id = first WHERE similarity >= 0.48)
+    SELECT id AS book_id, min(id) OVER (PARTITION BY fp) AS class_id, (SELECT count(DISTINCT e.fp) FROM ends e WHERE e.id = s.id AND e.fp <> s.fp) AS links FROM sets s""")
+def q21c_content_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in one row a book: the smallest book with an equal set of fingerprints, and the number of other sets that match."""
+    members, links = content.content_classes(_ready(spark, sf_dir), "book_id", "text", normalize=False)
+    ends = links.select(F.explode(F.array("ca", "cb")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
+    classes = members.groupBy("cls").agg(F.min("id").alias("class_id")).join(ends, "cls", "left")
+    return skewed_join(members, classes, ["cls"], ["id"]).select(F.col("id").alias("book_id"), "class_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+
+
 @query(f"WITH {MATCH_SQL} SELECT count_if(similarity >= 0.72) AS strict, count_if(similarity >= 0.48) AS standard, count(*) AS loose FROM w WHERE similarity >= 0.28")
 def q22_content_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of the raw texts by level, as the SQL states them."""
@@ -391,15 +403,14 @@ PREFILTER_SQL = f"""books AS (SELECT book_id AS id, lower(regexp_replace(regexp_
         '(\\s*[-_ ]?(copy|副本|重复|备份|\\(\\d+\\)|（\\d+）))+$', '', 'i')) AS low FROM ebook_documents WHERE state = 'ready'),
     keys AS (SELECT id, regexp_replace(low, '[\\s\\p{{Z}}\\p{{P}}]+', '', 'g') AS key FROM books),
     gr AS (SELECT DISTINCT id, key, CASE WHEN length(key) < 3 THEN key ELSE substring(key, i, 3) END AS gram FROM keys, LATERAL (SELECT unnest(range(1, greatest(length(key) - 1, 2))) AS i) WHERE key <> ''),
-    gn AS (SELECT id, count(*) AS n FROM gr GROUP BY id), small AS (SELECT gram FROM gr GROUP BY gram HAVING count(*) BETWEEN 2 AND 300),
-    gp AS (SELECT a.id AS x, b.id AS y, any_value(a.key) = any_value(b.key) AS same, count(*) AS c, count_if(a.gram IN (FROM small)) AS few FROM gr a JOIN gr b ON a.gram = b.gram AND a.id < b.id GROUP BY 1, 2),
-    candidates AS (SELECT x, y FROM gp JOIN gn p ON p.id = x JOIN gn q ON q.id = y WHERE same OR (few > 0 AND c / (p.n + q.n - c) >= 0.42))"""
+    gn AS (SELECT id, count(*) AS n FROM gr GROUP BY id), gp AS (SELECT a.id AS x, b.id AS y, any_value(a.key) = any_value(b.key) AS same, count(*) AS c FROM gr a JOIN gr b ON a.gram = b.gram AND a.id < b.id GROUP BY 1, 2),
+    candidates AS (SELECT x, y FROM gp JOIN gn p ON p.id = x JOIN gn q ON q.id = y WHERE same OR c / (p.n + q.n - c) >= 0.42)"""
 
 
-def _prefiltered(spark: SparkSession, sf_dir: str, bucket: int, whole: bool) -> DataFrame:
+def _prefiltered(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
     books = _ready(spark, sf_dir).withColumn("name", F.coalesce("title", name("file_path")))
     files = books.select(F.concat(F.lit("/"), F.col("book_id").cast("string"), F.lit("/"), F.replace("name", F.lit("/"), F.lit(" ")), F.lit(".x")).alias("path"), F.col("file_size").alias("size"))
-    pairs = names.candidate_names(files, content.NAME_LEVELS["standard"], bucket, compose=whole)
+    pairs = names.candidate_names(files, content.NAME_LEVELS["standard"], compose=whole)
     number = lambda c: F.split(c, "/")[1].cast("bigint")
     ids = pairs.select(F.least(number("first_path"), number("second_path")).alias("first"), F.greatest(number("first_path"), number("second_path")).alias("second"))
     return content.content_matches(books, "book_id", "text", candidates=ids, normalize=whole).withColumn("similarity", F.round("similarity", 9)).select("first", "second", "similarity")
@@ -407,14 +418,14 @@ def _prefiltered(spark: SparkSession, sf_dir: str, bucket: int, whole: bool) ->
 
 @query(f"WITH {MATCH_SQL}, {PREFILTER_SQL} SELECT first, second, round(similarity, 9) AS similarity FROM w JOIN candidates ON x = first AND y = second WHERE similarity >= 0.48")
 def q24_content_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content matches of raw texts among books whose raw names make them candidates (bucket bound 300, as an option), as the SQL states them."""
-    return _prefiltered(spark, sf_dir, 300, whole=False)
+    """Content matches of raw texts among books whose raw names make them candidates, as the SQL states them."""
+    return _prefiltered(spark, sf_dir, whole=False)
 
 
 @query()
 def q24n_content_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content matches of normalised texts among books whose composed names make them candidates, without a bound on buckets."""
-    return _prefiltered(spark, sf_dir, 0, whole=True)
+    """Content matches of normalised texts among books whose composed names make them candidates."""
+    return _prefiltered(spark, sf_dir, whole=True)
 
 
 # --- folders --------------------------------------------------------------------------------------------------------
@@ -524,28 +535,9 @@ def q31_search_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.groups_matching(_members(spark, sf_dir), "full_hash", "/ZH").select("path", "full_hash")
 
 
-LATEST_SQL = """(SELECT DISTINCT ON (file_path) file_path, device, inode, file_size, modified_s, modified_ns, changed_s, changed_ns FROM file_stamps WHERE session_no = {0} AND file_path IS NOT NULL
-    ORDER BY file_path, observed_at DESC NULLS LAST, ingested_at DESC NULLS LAST)"""
 _SAME = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in STAMP)
 
 
-def _latest(spark: SparkSession, sf_dir: str, session: int) -> DataFrame:
-    rows = _table(spark, sf_dir, "file_stamps").where(F.col("session_no") == session)
-    return versions(rows).select(F.col("file_path").alias("path"), "version.*")
-
-
-@query(f"""SELECT coalesce(a.file_path, b.file_path) AS path, CASE WHEN a.file_path IS NULL THEN 'added' WHEN b.file_path IS NULL THEN 'deleted' WHEN {_SAME} THEN 'unchanged' ELSE 'modified' END AS change
-    FROM {LATEST_SQL.format(1)} a FULL JOIN {LATEST_SQL.format(4)} b ON a.file_path = b.file_path""")
-def q32_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.reconcile(_latest(spark, sf_dir, 1), _latest(spark, sf_dir, 4), ["path"], STAMP)
-
-
-@query(f"SELECT b.file_path AS path, CASE WHEN {_SAME} THEN sha256(a.file_path) END AS full_hash FROM {LATEST_SQL.format(4)} b LEFT JOIN {LATEST_SQL.format(1)} a ON a.file_path = b.file_path")
-def q33_hash_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache = _latest(spark, sf_dir, 1).withColumn("full_hash", F.sha2("path", 256))
-    return exact.reuse_hashes(_latest(spark, sf_dir, 4), cache, ["path"], list(STAMP), ["full_hash"]).select("path", "full_hash")
-
-
 _STAMPS = ", ".join(STAMP)
 STEPS_SQL = f"""done AS (SELECT DISTINCT session_no FROM scan_sessions WHERE status = 'completed'), steps AS (SELECT session_no, lead(session_no) OVER (ORDER BY session_no) AS following FROM done),
     b AS (SELECT DISTINCT ON (session_no, file_path) session_no, file_path, {_STAMPS} FROM file_stamps WHERE session_no IN (FROM done) AND file_path IS NOT NULL
@@ -567,14 +559,14 @@ def _steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(f"""WITH {STEPS_SQL} SELECT coalesce(a.session_no, b.session_no) AS session_no, coalesce(a.file_path, b.file_path) AS path,
     CASE WHEN a.file_path IS NULL THEN 'added' WHEN b.file_path IS NULL THEN 'deleted' WHEN {_SAME} THEN 'unchanged' ELSE 'modified' END AS change
     FROM a FULL JOIN b ON a.file_path = b.file_path AND a.session_no = b.session_no""")
-def q32s_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q32_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each completed session against the completed one before it; all files of the first are added."""
     old, new = _steps(spark, sf_dir)
     return state.reconcile(old, new, ["session_no", "path"], STAMP)
 
 
 @query(f"WITH {STEPS_SQL} SELECT b.session_no, b.file_path AS path, CASE WHEN {_SAME} AND a.file_path IS NOT NULL THEN sha256(a.file_path) END AS full_hash FROM b LEFT JOIN a ON a.file_path = b.file_path AND a.session_no = b.session_no")
-def q33s_hash_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q33_hash_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hashes that each completed session can take from the completed one before it."""
     old, new = _steps(spark, sf_dir)
     cache = old.withColumn("full_hash", F.sha2("path", 256))

@@ -19,8 +19,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from dupscape.functions.text import READY_LENGTH
 
-#: Entries of an archive that are read at most; compressions of a text record.
-MOST_ENTRIES, PLAIN, PALMDOC = 10_000, 1, 2
+#: Compressions of a text record.
+PLAIN, PALMDOC = 1, 2
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'))
 
 
@@ -56,7 +56,7 @@ def _attributes(tag: str) -> dict[str, str]:
 def epub_text(data: bytes) -> str:
     """Chapters in reading order; without a usable order all pages in archive order. Paths cannot leave the archive."""
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
-        names = archive.namelist()[:MOST_ENTRIES]
+        names = archive.namelist()
         held = set(names)
 
         def page(name: str) -> str:
@@ -74,6 +74,8 @@ def epub_text(data: bytes) -> str:
                     if target in held and not target.startswith(("../", "/")):
                         order.append(target)
         order = order or [n for n in names if n.lower().endswith((".xhtml", ".html", ".htm"))]
+        if not order:
+            raise ValueError("no readable pages")
         return "\n".join(plain_text(page(n)) for n in order)
 
 

@@ -146,11 +146,11 @@ def test_every_session_appears(spark, rows, tmp_path):
     files = spark.createDataFrame([("/a/x",), ("/b/y",)], "file_path string").withColumns({"file_size": F.lit(1), "modified_at": F.current_timestamp(), "is_network": F.lit(False), "drm_status": F.lit("unknown")})
     files.write.parquet(f"{tmp_path}/ebook_files.parquet")
     run = lambda n, *c: rows(entry.queries()[n](spark, str(tmp_path)), "session_no", "path", *c)
-    assert run("q09s_identity_dedupe", "aliases") == [(1, "/a/x", 2), (2, "/a/x", 1), (2, "/a/y", 1), (3, "/a/y", 1), (5, "/a/y", 2), (5, "/b/z", 1)]
-    assert run("q09bs_complete_scopes") == [(1, "/a/x"), (2, "/a/x"), (5, "/a/x"), (5, "/b/y")]
+    assert run("q09_identity_dedupe", "aliases") == [(1, "/a/x", 2), (2, "/a/x", 1), (2, "/a/y", 1), (3, "/a/y", 1), (5, "/a/y", 2), (5, "/b/z", 1)]
+    assert run("q09b_complete_scopes") == [(1, "/a/x"), (2, "/a/x"), (5, "/a/x"), (5, "/b/y")]
     changes = [(1, "/a/x", "added"), (1, "/a/y", "added"), (2, "/a/x", "unchanged"), (2, "/a/y", "modified"), (5, "/a/x", "deleted"), (5, "/a/y", "unchanged"), (5, "/b/y", "added"), (5, "/b/z", "added")]
-    assert run("q32s_reconcile", "change") == changes
-    assert [(s, p) for s, p, h in run("q33s_hash_reuse", "full_hash") if h] == [(2, "/a/x"), (5, "/a/y")]
+    assert run("q32_reconcile", "change") == changes
+    assert [(s, p) for s, p, h in run("q33_hash_reuse", "full_hash") if h] == [(2, "/a/x"), (5, "/a/y")]
 
 
 @pytest.fixture
