@@ -12,11 +12,11 @@ from dupscape.functions.bits import grid_hash
 from dupscape.functions.text import name_key, strip_markup, text_state
 from dupscape.operators import content, exact, images, inventory, library, names, report, review, state
 from dupscape.operators.graph import connected_components
-from dupscape.operators.incremental import STAMP, changed_rows, versions
+from dupscape.operators.incremental import STAMP, IncrementalScan, land, versions
 from dupscape.operators.inventory import ScanOptions
 from dupscape.operators.skew import skewed_join
 from dupscape.paths import ancestors, name, parent
-from dupscape.session import materialize
+from dupscape.session import materialize, scratch
 from dupscape.sources.books import drm_status
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,9 +52,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     SELECT session_no, file_path FROM steps WHERE k = 1 OR version IS DISTINCT FROM last
 """)
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per completed session the files that are new or whose stamp has changed."""
-    changed = changed_rows(_table(spark, sf_dir, "file_stamps"), _table(spark, sf_dir, "scan_sessions"))
-    return changed.select("session_no", "file_path")
+    """Per completed session the files that are new or whose stamp has changed: what a first run gives out."""
+    scan = IncrementalScan(spark, scratch(spark, "incremental"))
+    return scan.run(_table(spark, sf_dir, "file_stamps"), _table(spark, sf_dir, "scan_sessions")).select("session_no", "file_path")
+
+
+@query(ORACLES["p3_found"])
+def p3_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, one run after each completed session over what there was by then, state carried from run to run."""
+    stamps, sessions = land(_table(spark, sf_dir, "file_stamps"), scratch(spark, "inbox")), _table(spark, sf_dir, "scan_sessions")
+    scan = IncrementalScan(spark, scratch(spark, "incremental"))
+    for r in sessions.where("status = 'completed'").select("session_no").distinct().orderBy("session_no").collect():
+        scan.run(stamps.where(F.col("session_no") <= r.session_no), sessions.where(F.col("session_no") <= r.session_no))
+    return scan.processed().select("session_no", "file_path")
 
 
 # --- views of the test tables ---------------------------------------------------------------------------------------

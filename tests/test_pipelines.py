@@ -166,11 +166,67 @@ def test_incremental_runs(spark, rows, tmp_path):
     grown = [*first, stamp(1, "/late", 1, late=20), stamp(2, "/b", 1), stamp(3, "/a", 2), stamp(3, "/new", 1)]
     done = sessions(spark, "completed", "completed", "completed")
     # a run that fails before its manifest leaves rows that the next run overwrites
-    df(first).select("session_no", "file_path").write.parquet(f"file://{tmp_path}/ledger/runs/3")
+    df(first).select("session_no", "file_path").write.parquet(f"file://{tmp_path}/ledger/runs/run=3")
     assert keys(scan.run(df(grown), done)) == [(1, "/late"), (2, "/a"), (3, "/new")]
     assert keys(scan.run(df(grown), done)) == [] and scan.manifest()["run"] == 4
 
 
+def test_an_old_failed_session_holds_nothing_open(spark, tmp_path):
+    """Only a session that has started and neither finished nor failed keeps the reread point back; a null status does."""
+    df = spark.createDataFrame([stamp(1, "/a", 1), stamp(3, "/a", 2), stamp(4, "/a", 3)], SCHEMA)
+    micros = lambda days: int((BASE + timedelta(days=days)).timestamp() * 1_000_000)
+    scan = IncrementalScan(spark, f"file://{tmp_path}/ledger", STAMP)
+    scan.run(df.where("session_no <= 1"), sessions(spark, "completed", "interrupted"))
+    scan.run(df.where("session_no <= 3"), sessions(spark, "completed", "interrupted", "completed"))
+    assert scan.manifest()["reread_from"] == micros(3)
+    scan.run(df, sessions(spark, "completed", "needsRetry", "completed", "completed", None))
+    assert scan.manifest()["reread_from"] == micros(4)
+    other = IncrementalScan(spark, f"file://{tmp_path}/other", STAMP)
+    other.run(df, sessions(spark, "completed", None, "completed", "completed"))
+    assert other.manifest()["reread_from"] == micros(2)
+
+
+def test_a_session_that_completes_late_counts_in_its_place(spark, rows, tmp_path):
+    data = [stamp(1, "/a", 1), stamp(1, "/b", 1), stamp(2, "/a", 2), stamp(2, "/n", 1), stamp(3, "/a", 1), stamp(3, "/b", 1)]
+    df = spark.createDataFrame(data, SCHEMA)
+    scan = IncrementalScan(spark, f"file://{tmp_path}/ledger", STAMP)
+    assert rows(scan.run(df, sessions(spark, "completed", "interrupted", "completed")), "session_no", "file_path") == [(1, "/a"), (1, "/b")]
+    # resumed: its own changes, and the one of the session after it that only now is one
+    assert rows(scan.run(df, sessions(spark, "completed", "completed", "completed")), "session_no", "file_path") == [(2, "/a"), (2, "/n"), (3, "/a")]
+    assert rows(scan.run(df, sessions(spark, "completed", "completed", "completed"))) == []
+
+
+def test_a_failed_rename_is_no_run(spark, rows, tmp_path, monkeypatch):
+    df, done = spark.createDataFrame([stamp(1, "/a", 1)], SCHEMA), sessions(spark, "completed")
+    scan = IncrementalScan(spark, f"file://{tmp_path}/ledger", STAMP)
+    path = scan._path
+
+    def refusing(name):
+        found, files = path(name)
+        return found, type("Files", (), {"create": lambda s, *a: files.create(*a), "rename": lambda s, *a: False, "exists": lambda s, *a: files.exists(*a), "listStatus": lambda s, *a: files.listStatus(*a)})()
+
+    monkeypatch.setattr(scan, "_path", refusing)
+    with pytest.raises(OSError, match="could not be committed"):
+        scan.run(df, done)
+    monkeypatch.undo()
+    assert scan.manifest()["run"] == 0 and rows(scan.run(df, done), "file_path") == [("/a",)] and rows(scan.run(df, done)) == []
+
+
+def test_runs_read_only_their_sessions(spark, rows, tmp_path):
+    """Landed by session and month of arrival: the files of a run are those of its new sessions and of late months."""
+    from dupscape.operators.incremental import land
+
+    data = [stamp(40 * s, f"/{p}", s if p == "a" else 1) for s in range(1, 7) for p in "abc"]
+    df = land(spark.createDataFrame(data, SCHEMA), f"file://{tmp_path}/inbox")
+    scan = IncrementalScan(spark, f"file://{tmp_path}/ledger", STAMP)
+    states = lambda n: spark.createDataFrame([(40 * i, "completed", BASE + timedelta(days=40 * i)) for i in range(1, n + 1)], "session_no int, status string, started_at timestamp")
+    for n in range(1, 7):
+        assert rows(scan.run(df, states(n)), "file_path") == ([("/a",)] if n > 1 else [("/a",), ("/b",), ("/c",)])
+    last = scan.manifest()
+    assert scan._late(df, last).inputFiles() and len(scan._late(df, last).where("true").select("file_path").collect()) == 3
+    assert spark.read.parquet(f"{scan.folder}/latest/run=6").count() == 3 and spark.read.parquet(f"{scan.folder}/seen/run=6").count() == 3
+
+
 def test_stream_and_control(spark, rows, tmp_path):
     write(tmp_path / "in/a", "same")
     write(tmp_path / "in/b", "same")
