@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from dupscape.llm.components import linked_groups
 from dupscape.llm.encoding import encode_corpus
-from dupscape.llm.history import file_fingerprints, known_records
+from dupscape.llm.history import PER_WORD, FileHistory, file_fingerprints, known_records, overlapping_records, text_fingerprints
 from dupscape.llm.leakage import leaked_items
 from dupscape.llm.near_edits import near_duplicate_pairs
 from dupscape.llm.residue import residue_documents
 from dupscape.llm.same_look import look_alike_pairs
 from dupscape.llm.survivors import MISSING, is_real, learned_precedence, survivors
 from dupscape.paths import below, plain
-from dupscape.session import materialize
+from dupscape.plans.catalogue import _winnow_sql
+from dupscape.session import materialize, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,6 +87,23 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("earlier").alias("earlier_id"), F.col("record").alias("record_id"), F.col("kind").alias("match_kind"))
 
 
+def p4_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, one batch after another against a history that is only probed, looked up and extended."""
+    prints = materialize(file_fingerprints(_table(spark, sf_dir, "session_files"), "record_id", "session_no", "file_size", "sample_hash", "full_hash"), "prints")
+    history, out = FileHistory(spark, scratch(spark, "history"), words=max(64, prints.count() // PER_WORD), parts=4), None
+    for r in prints.select("batch").distinct().orderBy("batch").collect():  # one row a session
+        found = history.accept(prints.where(F.col("batch") == r.batch), r.batch)
+        out = found if out is None else out.unionByName(found)
+    return out.select(F.col("earlier").alias("earlier_id"), F.col("record").alias("record_id"), F.col("kind").alias("match_kind"))
+
+
+def p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books of which one modified in an earlier month covers 0.8 or more of the winnowed fingerprints."""
+    month = F.year("modified_at") * 12 + F.month("modified_at")
+    books = _table(spark, sf_dir, "ebook_documents").withColumn("month", month)
+    return overlapping_records(text_fingerprints(books, "book_id", "month", "text")).withColumn("coverage", F.round("coverage", 9))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books whose title or text looks the same but is stored differently."""
     pairs = look_alike_pairs(_table(spark, sf_dir, "ebook_documents"), "book_id", ["title", "text"])
@@ -113,7 +131,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue_documents(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_currency, p2_found, p4_found, p5_found, p6_found, p7_ids, p8_found, p9_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_currency, p2_found, p4_found, p4_replay, p4_texts, p5_found, p6_found, p7_ids, p8_found, p9_found)}
 
 _WORDS = ", ".join(f"'{w}'" for w in MISSING)
 _REAL = "trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g')) NOT IN ('', " + _WORDS.replace("{", "{{") + ")"
@@ -166,3 +184,11 @@ ORACLES: dict[str, str] = {
         SELECT file_path, min(other) AS group_path FROM reach GROUP BY file_path
     """,
 }
+ORACLES["p4_replay"] = ORACLES["p4_found"]
+ORACLES["p4_texts"] = f"""
+    WITH {_winnow_sql("book_id", "ebook_documents")}, months AS (SELECT book_id AS id, year(modified_at) * 12 + month(modified_at) AS month FROM ebook_documents WHERE modified_at IS NOT NULL),
+    n AS (SELECT id, count(*) AS n FROM prints GROUP BY id),
+    shared AS (SELECT b.id AS record, a.id AS earlier, count(*) AS k FROM prints a JOIN prints b ON a.print = b.print JOIN months x ON x.id = a.id JOIN months y ON y.id = b.id WHERE x.month < y.month GROUP BY 1, 2)
+    SELECT record, earlier, round(k / n, 9) AS coverage FROM shared JOIN n ON n.id = record WHERE k / n >= 0.8
+    QUALIFY row_number() OVER (PARTITION BY record ORDER BY k / n DESC, earlier) = 1
+"""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from dupscape.llm.components import component_ids, linked_groups
 from dupscape.functions.text import winnowed
-from dupscape.llm.history import HistoryIndex, file_fingerprints, known_records, overlapping_records, text_fingerprints, usable_hash
+from dupscape.llm.history import FileHistory, TextHistory, file_fingerprints, known_records, overlapping_records, text_fingerprints, usable_hash
 from dupscape.llm.survivors import is_real, learned_precedence, style, survivors
 
 
@@ -74,7 +74,7 @@ def test_known_records(spark, rows):
 
 def test_batches_against_a_stored_history(spark, rows, tmp_path):
     df = spark.createDataFrame([(*f, "x") for f in FILES], SCHEMA)
-    index = HistoryIndex(spark, f"file://{tmp_path}/history", 64)
+    index = FileHistory(spark, f"file://{tmp_path}/history", 64, parts=4)
     found = []
     for batch in (1, 2, 3, 4, 5):
         new = prints_of(df.where(F.col("session_no") == batch))
@@ -112,7 +112,7 @@ def test_learned_precedence_places_undated_values(spark, rows):
     assert df.select(style(F.col("title"))).distinct().count() == 2
 
 
-def test_text_overlaps_equal_brute_force(spark, rows):
+def test_text_overlaps_equal_brute_force(spark, rows, tmp_path):
     rng = random.Random(8)
     prose = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
     books = [prose(120) for _ in range(6)]
@@ -131,6 +131,13 @@ def test_text_overlaps_equal_brute_force(spark, rows):
         best = min(((-len(s & o) / len(s), j) for j, (c, o) in sets.items() if c < b and len(s & o) / len(s) >= 0.8), default=None)
         if best:
             want.append((i, best[1], -best[0]))
+    prints = text_fingerprints(df, "id", "batch", "text")
     for block in (256, 2):
-        assert rows(overlapping_records(text_fingerprints(df, "id", "batch", "text"), salt_block=block)) == sorted(want, key=str)
+        assert rows(overlapping_records(prints, block=block)) == sorted(want, key=str)
+    index, found = TextHistory(spark, f"file://{tmp_path}/texts", 256, parts=4), []
+    for b in (1, 2, 3, 4):
+        found += rows(index.check(prints.where(F.col("batch") == b)))
+        index.update(prints, b)
+        index.update(prints, b)
+    assert sorted(found, key=str) == sorted(want, key=str)
     assert want and rows(overlapping_records(text_fingerprints(df.limit(0), "id", "batch", "text"))) == []
