@@ -67,7 +67,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles and authors by currency alone: dates where known, learned precedence of styles where not."""
-    members = _members(spark, sf_dir)
+    members = materialize(_members(spark, sf_dir), "group-members")
     fields = {"title": F.col("title"), "author": F.col("author")}
     learned = {name: learned_precedence(members.where(is_real(value)), ["group_id"], name, "dated") for name, value in fields.items()}
     return survivors(members, "group_id", "file_id", fields, _orders()[0][:1], when="dated", learned=learned)
@@ -192,3 +192,24 @@ ORACLES["p4_texts"] = f"""
     SELECT record, earlier, round(k / n, 9) AS coverage FROM shared JOIN n ON n.id = record WHERE k / n >= 0.8
     QUALIFY row_number() OVER (PARTITION BY record ORDER BY k / n DESC, earlier) = 1
 """
+
+_STYLE = (
+    "concat(CASE WHEN regexp_matches({0}, '(copy|副本|备份|_final|- old|\\(\\d+\\)|（\\d+）)\\s*$', 'i') THEN 'c' ELSE '' END, CASE WHEN contains({0}, '_') THEN 'u' ELSE '' END, "
+    "CASE WHEN regexp_matches({0}, '^[^,]+,\\s*[^,]+$') THEN 'i' ELSE '' END, CASE WHEN regexp_matches({0}, '^\\p{{Lu}}\\.') THEN 'n' ELSE '' END, "
+    "CASE WHEN lower({0}) = {0} AND upper({0}) <> {0} THEN 'l' WHEN upper({0}) = {0} AND lower({0}) <> {0} THEN 'U' ELSE '' END)"
+)
+_VALUES = " UNION ALL ".join(f"SELECT group_id, file_id, trusted, dated, '{f}' AS field_name, {_STYLE.format(f)} AS style FROM members WHERE {_REAL.format(f)}" for f in ("title", "author"))
+ORACLES["p1_currency"] = f"""
+    WITH RECURSIVE {ORACLES["p1_found"].split("WITH ", 1)[1].split(", ranked AS", 1)[0].rstrip()}, v AS ({_VALUES}),
+    spans AS (SELECT group_id, field_name, style, min(dated) AS since FROM v WHERE dated IS NOT NULL GROUP BY ALL),
+    n AS (SELECT a.field_name, a.style AS a, b.style AS b, count(*) AS k FROM spans a JOIN spans b USING (group_id, field_name) WHERE a.style <> b.style AND a.since < b.since GROUP BY ALL),
+    edges AS (SELECT n.field_name, n.a, n.b FROM n LEFT JOIN n r ON r.field_name = n.field_name AND r.a = n.b AND r.b = n.a WHERE n.k > coalesce(r.k, 0)),
+    closed(field_name, a, b) AS (SELECT * FROM edges UNION SELECT c.field_name, c.a, e.b FROM closed c JOIN edges e ON e.field_name = c.field_name AND e.a = c.b),
+    before AS (SELECT c.* FROM closed c WHERE NOT EXISTS (SELECT 1 FROM closed r WHERE r.field_name = c.field_name AND r.a = c.b AND r.b = c.a)),
+    candidates AS (SELECT *, dated IS NOT NULL AS known FROM v QUALIFY dated IS NULL OR row_number() OVER (PARTITION BY group_id, field_name, dated IS NULL ORDER BY dated DESC, trusted DESC, file_id) = 1),
+    latest AS (
+        SELECT * FROM candidates x WHERE NOT EXISTS (
+            SELECT 1 FROM candidates y JOIN before p ON p.field_name = y.field_name AND p.b = y.style WHERE y.group_id = x.group_id AND y.field_name = x.field_name AND p.a = x.style)
+    )
+    SELECT group_id, field_name, file_id FROM latest QUALIFY row_number() OVER (PARTITION BY group_id, field_name ORDER BY known DESC, trusted DESC, file_id) = 1
+"""
