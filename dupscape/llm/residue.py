@@ -29,13 +29,87 @@ FIELD = "\ue000"
 # Notations of unfilled fields. Double forms come before single ones.
 FIELDS = re.compile(
     r"\{%\s*block\s+[\w.]+\s*%\}\s*(?:\{%\s*endblock\s*%\})?|\{%[^%{}\n]{1,60}%\}|\{\{[^{}\n]{0,60}\}\}|<%=?[^%<>\n]{0,60}%>|<<[^<>\n]{1,60}>>|\[\[[^\[\]\n]{1,60}\]\]"
-    r"|[$#]\{[\w. ]{1,60}\}|@@[\w. ]{1,60}@@|__[A-Za-z][\w.]*?__|%[A-Za-z_][\w.]{2,60}%|(?<![\\\w}])\{[A-Za-z_][\w.]{3,60}\}"
+    r"|[$#]\{[\w. ]{1,60}\}|@@[\w. ]{1,60}@@|__[A-Za-z][\w.]*?__|%[A-Za-z_][\w.]{2,60}%|\$[A-Za-z_][\w.]{2,40}\$|(?<![\\\w}])\{[A-Za-z_][\w.]{3,60}\}"
     r"|[\[<](?:insert|your|enter|add|type|replace|tbd)\b[^\[\]<>\n]{0,60}[\]>]|\[[^\[\]\n]{1,60}\b(?:to be added|goes here|here|tbd|to come)\]",
     re.I,
 )
+#: Named slots in brackets, words in capitals as forms have them: [Author Name].
+SLOTS = re.compile(r"\[(?:[A-Z][a-z]+)(?:[ ,/]+(?:[A-Z][a-z]+|of|your|the)){1,3}\]")
 TAGS = re.compile(r"</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>\n]*)?/?>")
 
-# Labelled exemplars, by kind. A bag's words count in any order; other kinds count by neighbouring words.
+# Labelled exemplars, by kind. A bag's words count in any order; other kinds count by neighbouring words, and
+# by single words where those are rare. PUBLIC is worded after what browsers, servers, page builders and office programs
+# commonly show; EXEMPLARS were written after lines of such documents had been read.
+PUBLIC = {
+    "bag": """
+        lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat
+        duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum
+        sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium totam rem aperiam eaque ipsa quae ab illo inventore veritatis et quasi architecto beatae vitae dicta sunt explicabo
+    """,
+    "template": """
+        $x$ by $x$
+        [Author Name] [Book Title] [Company Name] [Your Name] [Street Address] [Phone Number] [Email Address] [City, State]
+        Dear Sir or Madam {{x}}, thank you for your order number {{x}} of {{x}}
+        Hi {{x}}, your account {{x}} was created on {{x}}
+        Posted by {{x}} on {{x}} in {{x}} with {{x}} comments
+        All rights reserved {{x}}. ISBN {{x}}. Printed in {{x}}. First edition {{x}}
+        Table of contents {{x}} List of figures {{x}} Index {{x}} Appendix {{x}}
+        Sehr geehrte Damen und Herren {{x}}, vielen Dank für Ihre Bestellung {{x}} vom {{x}}
+        Bonjour {{x}}, merci pour votre commande {{x}} du {{x}}
+        Estimado {{x}}, gracias por su pedido {{x}} del {{x}}
+        Уважаемый {{x}}, спасибо за ваш заказ {{x}} от {{x}}
+        尊敬的{{x}}，感谢您订购{{x}}，订单号{{x}}，日期{{x}}
+    """,
+    "filler": """
+        Click to edit Master title style. Click to edit Master text styles. Second level. Third level. Fourth level. Fifth level.
+        Click to add title. Click to add text. Click to add subtitle. Double click to add notes. Click icon to add picture.
+        Type your text here. Start typing here. Enter your text. Add a description here. Replace this text with your own content.
+        This is a sample page. It is different from a blog post because it will stay in one place. This is an example paragraph.
+        Hello world! Welcome to your new site. This is your first post. Edit or delete it, then start writing!
+        This section is intentionally left blank. This page is intentionally left blank. Content coming soon. Under construction. More to come.
+        Insert chapter text here. Insert image here. Insert caption. Heading goes here. Subheading. Body text. Title placeholder. Your name here. Your title here.
+        The quick brown fox jumps over the lazy dog. The quick brown fox jumped over the lazy dogs.
+        Fülltext. Beispieltext. Dies ist ein Typoblindtext. Dies ist nur ein Beispieltext und dient als Platzhalter. Hier Text eingeben. Titel eingeben. Text durch Klicken hinzufügen. Inhalt folgt in Kürze. Diese Seite wurde absichtlich leer gelassen. Überschrift hier einfügen.
+        Cliquez pour ajouter un titre. Cliquez pour ajouter du texte. Ceci est un exemple de texte. Saisissez votre texte ici. Texte à remplacer. Contenu à venir. Page laissée vide intentionnellement. Faux texte. En construction.
+        Haga clic para agregar título. Haga clic para agregar texto. Este es un texto de ejemplo. Escriba su texto aquí. Texto de relleno. Contenido próximamente. Página en blanco intencionadamente. Introduzca el título. En construcción.
+        Щёлкните, чтобы добавить заголовок. Щелкните, чтобы добавить текст. Это пример текста. Введите ваш текст здесь. Текст-заполнитель. Рыбный текст. Содержание скоро появится. Страница намеренно оставлена пустой. Раздел в разработке. Образец заголовка.
+        单击此处添加标题。单击此处添加文本。单击此处编辑母版标题样式。这里是示例文字。在此处输入文本。示例文本，请替换。内容即将推出。此页有意留白。占位符文字。敬请期待。网站建设中。正文内容待添加。
+        ここにテキストを入力してください。サンプルテキスト。ダミーテキストです。タイトルを入力。準備中です。
+        여기에 텍스트를 입력하세요. 샘플 텍스트입니다. 준비 중입니다.
+        Fare clic per inserire il titolo. Testo di esempio. Inserire il testo qui. Clique para adicionar um título. Texto de exemplo. Insira o texto aqui. Klik om tekst toe te voegen.
+    """,
+    "error": """
+        This site can't be reached. The server unexpectedly closed the connection. The server took too long to respond. Check your Internet connection. Check the proxy and the firewall. ERR_CONNECTION_TIMED_OUT ERR_NAME_NOT_RESOLVED ERR_CONNECTION_REFUSED DNS_PROBE_FINISHED_NXDOMAIN
+        This page isn't working. The page isn't redirecting properly. Unable to connect. Hmm, we're having trouble finding that site. Your connection is not private. The webpage is not available. No internet.
+        Sorry, the page you are looking for could not be found. We couldn't find that page. The page you requested does not exist, may have been moved, renamed or deleted, or is temporarily unavailable. Nothing was found at this location. Return to the home page. Check the address and try again. Go back to the homepage.
+        An error has occurred. An unexpected error occurred while processing your request. Something went wrong on our end. We apologize for the inconvenience. Please contact the administrator. The server encountered an internal error or misconfiguration and was unable to complete your request. More information about this error may be available in the server error log.
+        The server is temporarily unable to service your request due to maintenance downtime or capacity problems. Please refresh the page. We'll be back shortly. The site is undergoing scheduled maintenance. Thank you for your patience. The service is currently unavailable. Error establishing a database connection. Bad gateway. The proxy server received an invalid response from an upstream server.
+        You don't have permission to access this resource on this server. You are not authorized to view this page. Unauthorized. Login required. Authentication failed. Please log in to continue. Your session has timed out. You have been logged out due to inactivity. Access to this resource is denied. Request blocked. Rate limit exceeded. Please slow down.
+        Content not available in your region. This video is unavailable. This item has been removed. This document could not be loaded. Failed to load resource. Unable to load content. Failed to fetch. Network error. Could not open the file. The file is damaged and could not be repaired. The book could not be opened. Download failed. Image not found. Invalid request. Method not allowed. Not implemented. Payload too large. Unsupported media type.
+        Exception in thread main java.lang.NullPointerException at com.example.Main.main(Main.java:12). Caused by: java.io.IOException: Connection reset. TypeError: Cannot read properties of undefined (reading 'length'). ReferenceError: x is not defined. Uncaught exception. Segmentation fault (core dumped). ValueError: invalid literal. IndexError: list index out of range. SyntaxError: Unexpected token. Notice: Undefined variable. Parse error: syntax error, unexpected end of file in /var/www/html/index.php on line 12. SQLSTATE[HY000] [2002] Connection refused. Internal error code 500. Stack trace. Debug information. Error reference number.
+        Diese Website ist nicht erreichbar. Es ist ein Fehler aufgetreten. Ein unerwarteter Fehler ist aufgetreten. Die angeforderte Seite konnte nicht gefunden werden. Die Seite existiert nicht oder wurde entfernt. Bitte überprüfen Sie die Adresse. Zurück zur Startseite. Der Dienst ist vorübergehend nicht verfügbar. Wir bitten um Entschuldigung. Sie haben keine Berechtigung, diese Seite anzuzeigen. Bitte melden Sie sich an. Ihre Sitzung ist abgelaufen. Die Datei konnte nicht geöffnet werden. Verbindung fehlgeschlagen. Zeitüberschreitung der Anforderung. Der Inhalt konnte nicht geladen werden. Anfrage ungültig. Datenbankverbindung fehlgeschlagen.
+        Ce site est inaccessible. Une erreur est survenue. Une erreur inattendue s'est produite. La page demandée est introuvable ou n'existe pas. Vérifiez l'adresse et réessayez. Retour à la page d'accueil. Le service est temporairement indisponible. Veuillez nous excuser pour la gêne occasionnée. Vous n'avez pas l'autorisation d'accéder à cette page. Veuillez vous connecter. Votre session a expiré. Impossible d'ouvrir le fichier. Échec de la connexion. Délai d'attente dépassé. Le contenu n'a pas pu être chargé. Requête invalide. Contactez l'administrateur.
+        No se puede acceder a este sitio. Se ha producido un error. Ha ocurrido un error inesperado. No se encontró la página solicitada. La página no existe o ha sido eliminada. Compruebe la dirección e intente de nuevo. Volver a la página de inicio. El servicio no está disponible temporalmente. Disculpe las molestias. No tiene permiso para acceder a esta página. Inicie sesión para continuar. Su sesión ha expirado. No se pudo abrir el archivo. Error de conexión. Tiempo de espera agotado. No se pudo cargar el contenido. Solicitud no válida. Póngase en contacto con el administrador.
+        Не удаётся получить доступ к сайту. Произошла ошибка. Произошла непредвиденная ошибка. Запрашиваемая страница не найдена. Страница не существует или была удалена. Проверьте адрес и попробуйте ещё раз. Вернуться на главную страницу. Сервис временно недоступен. Приносим извинения за неудобства. У вас нет прав для просмотра этой страницы. Войдите в систему. Ваш сеанс истёк. Не удалось открыть файл. Ошибка подключения. Время ожидания истекло. Не удалось загрузить содержимое. Неверный запрос. Обратитесь к администратору. Ведутся технические работы.
+        无法访问此网站。抱歉，出错了。发生未知错误。很抱歉，您要查找的页面不存在。页面已被移动或删除。请检查网址是否正确。返回首页。服务暂时不可用。给您带来不便，敬请谅解。您没有权限访问此页面。请先登录。会话已过期，请重新登录。文件无法打开。连接失败。网络连接超时。内容加载失败，请刷新重试。无效的请求。请联系管理员。服务器繁忙，请稍后重试。数据库连接错误。出了点问题。该内容已下架。
+        エラーが発生しました。ページが見つかりません。しばらくしてからもう一度お試しください。アクセスが拒否されました。サーバーに接続できません。お探しのページは移動または削除された可能性があります。
+        오류가 발생했습니다. 페이지를 찾을 수 없습니다. 잠시 후 다시 시도해 주세요. 접근이 거부되었습니다. 서버에 연결할 수 없습니다.
+        Si è verificato un errore. Pagina non trovata. Impossibile raggiungere il sito. Ocorreu um erro. Página não encontrada. Não é possível acessar esse site. Er is een fout opgetreden. Pagina niet gevonden.
+    """,
+    "scripts": """
+        You need to enable JavaScript to run this app. JavaScript is required to view this content. JavaScript must be enabled in order for you to use this site. It looks like your browser does not have JavaScript enabled. JavaScript seems to be disabled in your browser. For full functionality of this site it is necessary to enable JavaScript. Here are the instructions how to enable JavaScript in your web browser. Turn on JavaScript and reload the page to continue.
+        Your browser does not support scripts or has scripts turned off. Your browser does not support JavaScript. Please upgrade to a modern browser or turn scripting on. This page uses scripts that your browser blocked. Your browser is not supported. Please update your browser. Please disable your ad blocker. Please enable cookies. Cookies are disabled in your browser. This feature requires Flash Player. Your browser does not support the video tag. Your browser does not support frames, inline frames or the canvas element.
+        Checking if the site connection is secure. Verifying you are human. This may take a few seconds. Please complete the security check to access this site. Just a moment... Enable JavaScript and cookies to continue. Please wait while we verify your browser. Why do I have to complete a CAPTCHA? Please wait, redirecting. If you are not redirected automatically, click here. Loading, please wait.
+        JavaScript ist deaktiviert. Bitte aktivieren Sie JavaScript in Ihrem Browser, um diese Seite zu nutzen. Ihr Browser unterstützt kein JavaScript oder Skripte sind ausgeschaltet. Für diese Seite müssen Skripte erlaubt sein. Bitte aktivieren Sie Cookies. Ihr Browser ist veraltet. Ihr Browser wird überprüft. Einen Moment bitte, die Seite wird geladen.
+        JavaScript est désactivé. Veuillez activer JavaScript dans votre navigateur pour utiliser ce site. Votre navigateur ne prend pas en charge les scripts. Cette page nécessite JavaScript pour fonctionner. Veuillez activer les cookies. Votre navigateur est obsolète. Vérification de votre navigateur. Chargement en cours, veuillez patienter. Activez les scripts pour afficher le contenu.
+        JavaScript está deshabilitado. Habilite JavaScript en su navegador para usar este sitio. Su navegador no admite scripts o los tiene desactivados. Esta página requiere JavaScript para funcionar. Habilite las cookies. Su navegador está desactualizado. Comprobando su navegador. Cargando, espere por favor. Active los scripts para ver el contenido.
+        JavaScript отключён. Пожалуйста, включите JavaScript в вашем браузере, чтобы использовать этот сайт. Ваш браузер не поддерживает скрипты или они отключены. Для работы страницы требуется JavaScript. Включите файлы cookie. Ваш браузер устарел. Проверка вашего браузера. Загрузка, подождите. Разрешите выполнение скриптов для просмотра содержимого.
+        您的浏览器不支持JavaScript或已禁用脚本。请在浏览器中启用JavaScript以使用本网站。本网站需要启用脚本才能正常显示。请启用Cookie。您的浏览器版本过低，请升级。正在检查您的浏览器。加载中，请稍候。请允许运行脚本后刷新页面。需要开启脚本功能才能查看此内容。
+        このページを表示するにはJavaScriptを有効にしてください。お使いのブラウザはJavaScriptに対応していません。読み込み中です。
+        이 페이지를 보려면 자바스크립트를 활성화하세요. 브라우저에서 스크립트를 사용할 수 없습니다. 로딩 중입니다.
+        È necessario abilitare JavaScript. Por favor, ative o JavaScript no seu navegador. Schakel JavaScript in om deze site te gebruiken.
+    """,
+}
 EXEMPLARS = {
     "template": """
         Filed under {{x}} / {{x}}
@@ -222,10 +296,12 @@ EXEMPLARS = {
 
 #: Words of a passage window; characters that an unfilled field counts for.
 WINDOW, FIELD_LENGTH = 12, 12
+#: Share of a window's weight from which single words count, and how many different ones there must be.
+LOOSE, DISTINCT = 0.6, 3
 #: Stand-ins while reading: the end of a line or sentence, the end of a text, and a kept blank.
 BREAK, END, BLANK = "\ue001", "\ue002", "\ue003"
 OWN = re.compile("[\ue000-\ue003]")
-HINTS = re.compile(r"[{<\[@%&]|__")
+HINTS = re.compile(r"[{<\[@%&$]|__")
 SPACED = re.compile(r"(?:\S {1,3}){4,}\S")
 CHUNK = 1 << 20
 
@@ -263,7 +339,7 @@ def prepared(text: str) -> str:
     if "   " in text and SPACED.search(text):
         text = SPACED.sub(lambda m: m.group().replace("   ", BLANK).replace(" ", "").replace(BLANK, " ") if "   " in m.group() else m.group(), text)
     if HINTS.search(text):
-        text = TAGS.sub("\n", FIELDS.sub(FIELD, html.unescape(text)))
+        text = TAGS.sub("\n", FIELDS.sub(FIELD, SLOTS.sub(FIELD, html.unescape(text))))
     return text
 
 
@@ -285,10 +361,25 @@ def read(texts: Iterable[str]) -> list[list[str]]:
     return [t.split() for t in text_of(cps).split(END)]
 
 
+def all_exemplars() -> dict[str, str]:
+    return {kind: lines.rstrip() + "\n" + PUBLIC.get(kind, "").strip() for kind, lines in EXEMPLARS.items()}
+
+
 def tokens(line: str) -> list[str]:
     return [t for t in read([line])[0] if t != BREAK]
 
 
+def sentences(line: str) -> list[list[str]]:
+    """Tokens of each passage of a line; at least one."""
+    out: list[list[str]] = [[]]
+    for t in read([line.strip()])[0]:
+        if t == BREAK:
+            out.append([])
+        else:
+            out[-1].append(t)
+    return [s for s in out if s]
+
+
 def neighbours(words: list[str]) -> list[str]:
     return [a + " " + b for a, b in zip(words, words[1:])]
 
@@ -313,17 +404,17 @@ class Exemplars:
         number = 0
         for kind, lines in exemplars.items():
             for line in lines.strip().splitlines():
-                found = tokens(line.strip())
-                if kind == "bag":
-                    words.update(found)
-                    shingles = found
-                else:
-                    if len(found) == 1 or found[0] == FIELD:
-                        whole.add(found[0])
-                    shingles = [*neighbours(found + found[:1]), *([found[0]] if len(found) == 1 else [])]
-                for s in set(shingles):
-                    index.setdefault(s, []).append(number)
-                number += 1
+                for found in sentences(line):
+                    if kind == "bag":
+                        words.update(found)
+                        shingles = found
+                    else:
+                        if len(found) == 1 or found[0] == FIELD:
+                            whole.add(found[0])
+                        shingles = [*neighbours(found + found[:1]), *([found[0]] if len(found) == 1 else [])]
+                    for s in set(shingles):
+                        index.setdefault(s, []).append(number)
+                    number += 1
         return Exemplars(index, frozenset(words), frozenset(whole))
 
 
@@ -344,7 +435,9 @@ def length(word: str) -> int:
 def containment(window: list[str], exemplars: Exemplars, idf: Mapping[str, float], unseen: float, size: int = WINDOW) -> float:
     """Share of the window's TF-IDF weight in shingles of retrieved exemplars.
 
-    Words in bags stand alone; other words are weighed as pairs with the word that follows.
+    Words in bags stand alone; other words are weighed as pairs with the word that follows. Wordings that no exemplar has
+    consist of the same words all the same: where single words of exemplars, whole ones and not single characters, have
+    ``LOOSE`` of the weight of the window's single words, and ``DISTINCT`` different ones are among them, that share counts.
     """
     own = window[:size]
     index, words = exemplars.index, exemplars.words
@@ -360,7 +453,18 @@ def containment(window: list[str], exemplars: Exemplars, idf: Mapping[str, float
         weight *= length(w)
         total += weight
         covered += weight if good else 0.0
-    return covered / total if total else 0.0
+    if not total:
+        return 0.0
+    strict = covered / total
+    if strict >= LOOSE or len({w for w in own if w in exemplars.parts and w.isalpha()}) < DISTINCT:
+        return strict
+    covered = total = 0.0
+    for i, w in enumerate(own):
+        weight = idf.get(w, unseen) * length(w)
+        total += weight
+        if (len(w) > 1 and w in exemplars.parts) or w == FIELD or w in words or (i < len(hit) and hit[i]) or (0 < i <= len(hit) and hit[i - 1]):
+            covered += weight
+    return max(strict, covered / total) if total and covered / total >= LOOSE else strict
 
 
 def coverage(words: list[str], exemplars: Exemplars, idf: Mapping[str, float], unseen: float, least: float) -> float:
@@ -375,7 +479,7 @@ def coverage(words: list[str], exemplars: Exemplars, idf: Mapping[str, float], u
 
 
 def _possible(words: list[str], exemplars: Exemplars, least: float) -> float:
-    """A bound of the coverage that needs no frequencies.
+    """A bound of the coverage that needs no frequencies; ``least`` is below ``LOOSE``, so single words are within it.
 
     Covered tokens lie in ``exemplars.parts``, and no token weighs more a character than one that does not; so a window
     of containment c has at least c of its characters in parts, and a coverage of s needs s x c of the text's.
@@ -395,7 +499,7 @@ def residue_coverage(
     weights. The frequencies are a table as long as the exemplars are, whatever the corpus, and go to all executors.
     Null, empty and blank texts have no residue; repeated rows stay repeated.
     """
-    known = Exemplars.of(exemplars or EXEMPLARS)
+    known = Exemplars.of(exemplars or all_exemplars())
     spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
     shared = spark.sparkContext.broadcast(known)
     key_type = df.select(key).schema[0].dataType
@@ -414,7 +518,7 @@ def residue_coverage(
                 for words in rows:
                     pairs = {x + " " + y for x, y in zip(words, words[1:]) if x in parts and y in parts}
                     total.update(pairs.intersection(index))
-                    total.update(set(words).intersection(index))
+                    total.update(parts.intersection(words))
                 kept = [i for i, words in enumerate(rows) if _possible(words, known, least) > above]
                 n = len(kept)
                 yield pa.RecordBatch.from_arrays(
