@@ -11,9 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dupscape.operators.skew import crowded, skewed_join
 from dupscape.session import drop_path, materialize, scratch
 
 
+#: Edges of one vertex, or members of one component, that meet in one task.
+HUB = 100_000
+
+
 def start(vertex: Column, level: int, mean: float) -> Column:
     """Start of a vertex's own cluster: an exponential shift of the given mean before time 0, drawn from a hash."""
     uniform = (F.shiftrightunsigned(F.xxhash64(vertex, F.lit(level), F.lit(7)), 11) + F.lit(1)) / F.lit(float(1 << 53))
@@ -28,19 +33,28 @@ def _kept(df: DataFrame, label: str, old: list[str]) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def decompose(edges: DataFrame, level: int, rounds: int, mean: float) -> DataFrame:
+def decompose(edges: DataFrame, level: int, rounds: int, mean: float, few: bool = False) -> DataFrame:
     """``(v, c)``: each vertex of the symmetric, loop-free ``edges(a, b)`` with the centre of its cluster.
 
     A vertex joins the centre whose cluster reaches it first, or founds its own where its start comes before; clusters
-    grow for ``rounds`` steps, which bounds their diameter.
+    grow for ``rounds`` steps, which bounds their diameter. ``few`` edges, no more than a task may hold, have no hub.
     """
     label = edges.select(F.col("a").alias("v")).distinct()
     # an edge takes an arrival one step on; a vertex keeps its own with no step, so a round reads the labels once
     steps = edges.withColumn("d", F.lit(1.0)).unionByName(label.select(F.col("v").alias("a"), F.col("v").alias("b"), F.lit(0.0).alias("d")))
+    # the edges of a hub are spread over tasks, the same ones in every round; its label goes to each of them
+    hubs = None if few else crowded(edges, ["a"], HUB)
+    if hubs is not None:
+        hubs = F.broadcast(hubs.select("a", F.ceil(F.col("_n") / HUB).cast("int").alias("salts")))
+        steps = steps.join(hubs, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
     label = label.select("v", start(F.col("v"), level, mean).alias("s"), F.col("v").alias("c"))
     for _ in range(rounds):
         # (arrival, centre): the least wins, pre-aggregated before the shuffle, so a hub's neighbours never meet in one task
-        offers = steps.join(label, steps.a == label.v).select("b", F.struct((F.col("s") + F.col("d")).alias("s"), "c").alias("best"))
+        own, on = label, steps.a == label.v
+        if hubs is not None:
+            own = label.join(hubs.withColumnRenamed("a", "v"), "v", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+            on = (steps.a == own.v) & (steps.salt == own.part)
+        offers = steps.join(own, on).select("b", F.struct((F.col("s") + F.col("d")).alias("s"), "c").alias("best"))
         label = offers.groupBy(F.col("b").alias("v")).agg(F.min("best").alias("best")).select("v", "best.s", "best.c")
     return label.select("v", "c")
 
@@ -60,11 +74,13 @@ def component_ids(edges: DataFrame, rounds: int = 3, mean: float = 3.0, growth:
     both = whole.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
     links = _kept(both.distinct(), "edges", old)
     assigned, level = [], 0
-    while not links.isEmpty():
-        assigned.append(materialize(decompose(links, level, rounds, mean * growth**level), "level"))
+    while n := links.count():
+        few = n <= HUB
+        join = DataFrame.join if few else lambda x, y, on: skewed_join(x, y, [on], ["b" if on == "a" else "a"], block=HUB)
+        assigned.append(materialize(decompose(links, level, rounds, mean * growth**level, few), "level"))
         own = assigned[-1]
         left, right = own.select(F.col("v").alias("a"), F.col("c").alias("x")), own.select(F.col("v").alias("b"), F.col("c").alias("y"))
-        between = links.join(left, "a").join(right, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        between = join(join(links, left, "a"), right, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         done, old = old, []
         links = _kept(between, "edges", old)
         for path in done:
@@ -95,4 +111,4 @@ def linked_groups(pairs: DataFrame, first: str, second: str, **options) -> DataF
     roots = component_ids(edges, **options)
     named = materialize(names.join(roots, "v").select("name", "root"), "named")
     least = named.groupBy("root").agg(F.min("name").alias("group"))
-    return named.join(least, "root").select(F.col("name").alias("member"), "group")
+    return skewed_join(named, least, ["root"], ["name"], block=HUB).select(F.col("name").alias("member"), "group")

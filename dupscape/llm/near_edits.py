@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dupscape.llm.lookalikes import comparable, slices
-from dupscape.operators.skew import salted_pairs
+from dupscape.operators.skew import salted_pairs, skewed_join
 from dupscape.session import materialize, spread, width
 
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
@@ -91,7 +91,7 @@ def dart_signature(elements: np.ndarray, weights: np.ndarray | None, k: int) ->
         keep &= unit[owner] + mix(dart ^ np.uint64(2)) / 2.0**64 <= weights[which[owner]]
     dart, rank = dart[keep], rank[keep]
     at = (mix(dart ^ np.uint64(3)) % np.uint64(k)).astype(np.int64)
-    order = np.lexsort((-rank, at))
+    order = np.argsort(-rank, kind="stable")
     out[at[order]] = dart[order] | np.uint64(1)  # of equal coordinates the last, lowest rank stays
     return out
 
@@ -202,12 +202,13 @@ def near_duplicate_pairs(df: DataFrame, key: str, text: str, **options) -> DataF
     The result itself is quadratic in the size of a class; use the classes where that matters.
     """
     members, links = near_duplicate_classes(df, key, text, **options)
-    members = members.distinct()
+    members = materialize(members.distinct(), "members")
     same = salted_pairs(members, ["digest"], key).select(F.col(f"{key}_a").alias("first"), F.col(f"{key}_b").alias("second"))
     links = materialize(links.select("digest_a", "digest_b"), "links")
     left = members.select(F.col("digest").alias("digest_a"), F.col(key).alias("x"))
     right = members.select(F.col("digest").alias("digest_b"), F.col(key).alias("y"))
-    cross = links.join(left, "digest_a").join(right, "digest_b").select(F.least("x", "y").alias("first"), F.greatest("x", "y").alias("second"))
+    one = skewed_join(left, links, ["digest_a"], ["x"])
+    cross = skewed_join(right, one, ["digest_b"], ["y"]).select(F.least("x", "y").alias("first"), F.greatest("x", "y").alias("second"))
     return same.unionByName(cross).where("first <> second").distinct()
 
 
@@ -215,7 +216,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, **options) -> DataFrame:
     """One row per record: ``(key, class_id, copies, links)``; ``links`` counts the other classes linked with its class."""
     members, links = near_duplicate_classes(df, key, text, **options)
     ends = links.select(F.explode(F.array("digest_a", "digest_b")).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("links"))
-    members = members.distinct()
-    sizes = members.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
-    joined = members.join(sizes, "digest").join(ends, "digest", "left")
+    members = materialize(members.distinct(), "members")
+    sizes = members.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).join(ends, "digest", "left")
+    joined = skewed_join(members, sizes, ["digest"], [key])
     return joined.select(key, F.lower(F.hex("digest")).alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))

@@ -76,7 +76,7 @@ def p1_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books in state ready whose compared texts' runs of eight characters have a Jaccard similarity of 0.6 or more."""
     ready = _table(spark, sf_dir, "ebook_documents").where("state = 'ready'")
-    pairs = near_duplicate_pairs(ready, "book_id", "text", unit="chars", size=8, threshold=0.6, bands=96, rows=5)
+    pairs = near_duplicate_pairs(ready, "book_id", "text", unit="chars", size=8, threshold=0.6, bands=56, rows=4)
     return pairs.select(F.col("first").alias("first_id"), F.col("second").alias("second_id"))
 
 

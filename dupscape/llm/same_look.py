@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dupscape.llm.lookalikes import Folding, corpus_folding, slices
+from dupscape.operators.skew import salted_pairs, skewed_join
 from dupscape.session import materialize, spread
 
 
@@ -67,21 +68,20 @@ def look_alike_pairs(df: DataFrame, key: str, columns: list[str], folding: Foldi
 
     Values are compared in the form of :mod:`dupscape.llm.lookalikes`, with representatives counted over all rows.
     Values stored alike are first put together, so only stored variants are paired, each pair of variants once, and
-    then given their records; a pair of equal values is never made. A variant kept by very many records is spread
-    over blocks of ``block`` records. Null, empty and wholly invisible values have no pairs; repeated keys are one
+    then given their records; a pair of equal values is never made. A form of very many variants is paired in blocks of
+    ``block`` variants, and the records of a value that very many keep are spread over tasks. Null, empty and wholly invisible values have no pairs; repeated keys are one
     record; an empty table gives no rows.
     """
     folding = folding or corpus_folding(df, columns)
     keys = materialize(form_keys(df, key, columns, folding).distinct(), "forms")
     variants = keys.groupBy("field_name", "form", "raw").agg(F.count(F.lit(1)).alias("n"))
     several = variants.groupBy("field_name", "form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("field_name", "form")
-    variants = variants.join(several, ["field_name", "form"], "left_semi")
-    a = variants.select("field_name", "form", F.col("raw").alias("raw_a"), F.col("n").alias("n_a"))
-    b = variants.select("field_name", "form", F.col("raw").alias("raw_b"))
-    salts = F.ceil(F.col("n_a") / block).cast("int")
-    links = a.join(b, ["field_name", "form"]).where("raw_a < raw_b").withColumn("salts", salts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    left = keys.join(variants.select("field_name", "form", "raw", F.ceil(F.col("n") / block).cast("int").alias("s")), ["field_name", "form", "raw"])
-    left = left.select("field_name", "form", F.col("raw").alias("raw_a"), F.pmod(F.xxhash64(key), F.col("s")).cast("int").alias("salt"), F.col(key).alias("key_a"))
-    right = keys.select("field_name", "form", F.col("raw").alias("raw_b"), F.col(key).alias("key_b"))
-    pairs = links.join(left, ["field_name", "form", "raw_a", "salt"]).join(right, ["field_name", "form", "raw_b"])
+    variants = materialize(variants.join(several, ["field_name", "form"], "left_semi").select("field_name", "form", "raw"), "variants")
+    links = materialize(salted_pairs(variants, ["field_name", "form"], "raw", block=block).select("field_name", "form", "raw_a", "raw_b"), "variant-pairs")
+    # only records of values that have variants go on
+    held = materialize(keys.join(variants, ["field_name", "form", "raw"], "left_semi"), "held")
+    left = held.select("field_name", "form", F.col("raw").alias("raw_a"), F.col(key).alias("key_a"))
+    right = held.select("field_name", "form", F.col("raw").alias("raw_b"), F.col(key).alias("key_b"))
+    one = skewed_join(left, links, ["field_name", "form", "raw_a"], ["key_a"])
+    pairs = skewed_join(right, one, ["field_name", "form", "raw_b"], ["key_b"])
     return pairs.select(F.least("key_a", "key_b").alias("first"), F.greatest("key_a", "key_b").alias("second"), "field_name").where("first <> second").distinct()

@@ -150,3 +150,12 @@ def test_text_overlaps_equal_brute_force(spark, rows, tmp_path):
         index.update(prints, b)
     assert sorted(found, key=str) == sorted(want, key=str)
     assert want and rows(overlapping_records(text_fingerprints(df.limit(0), "id", "batch", "text"))) == []
+
+
+def test_groups_with_a_hub_and_one_large_component(spark, rows, monkeypatch):
+    from dupscape.llm import components
+
+    monkeypatch.setattr(components, "HUB", 6)
+    pairs = [("hub", f"n{i:03d}") for i in range(90)] + [(f"n{i:03d}", f"z{i:03d}") for i in range(0, 90, 4)] + [("x", "y")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert rows(linked_groups(df, "a", "b")) == sorted(union_find(pairs).items())
