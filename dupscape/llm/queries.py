@@ -126,12 +126,17 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
 
+def p8_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a stretch whose weighted shingles are 0.8 or more like those of a whole evaluation item."""
+    return leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"), similarity=0.8)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are template residue, filler, error pages or script notices in more than half of their characters."""
     return residue_documents(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_currency, p2_found, p4_found, p4_replay, p4_texts, p5_found, p6_found, p7_ids, p8_found, p9_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_currency, p2_found, p4_found, p4_replay, p4_texts, p5_found, p6_found, p7_ids, p8_found, p8_similar, p9_found)}
 
 _WORDS = ", ".join(f"'{w}'" for w in MISSING)
 _REAL = "trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g')) NOT IN ('', " + _WORDS.replace("{", "{{") + ")"

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from dupscape.llm.leakage import HammingBlocks, leaked_items, longest_run, shingle_hashes, simhash, weighted_jaccard
+from dupscape.llm.leakage import HammingBlocks, item_indexes, leaked_items, run_hashes, shares_run, shingle_hashes, simhash, weighted_jaccard
 from dupscape.llm.lookalikes import comparable, points
 from dupscape.llm.residue import BREAK, EXEMPLARS, FIELD, Exemplars, read, residue_coverage, residue_documents
 
@@ -62,7 +62,11 @@ def test_leaks_equal_brute_force(spark, rows):
 
 
 def test_run_and_weighted_similarity():
-    assert longest_run(points("abcdef"), points("abxdef")) == 3 and longest_run(points(""), points("a")) == 0
+    for size in (1, 2, 3, 7, 25, 60):
+        text = "".join(random.Random(size).choices("abc", k=200))
+        found = run_hashes(points(text), size)
+        assert len(found) == 201 - size and len(set(found.tolist())) == len({text[i : i + size] for i in range(201 - size)})
+    assert shares_run(points("xxabcdef"), points("abxdefabcd"), 4) and not shares_run(points("abcdef"), points("abxdef"), 4) and not shares_run(points(""), points("a"), 3)
     assert weighted_jaccard(points("abcabcabc"), points("abcabcabc")) == 1.0 and weighted_jaccard(points("abcd"), points("wxyz")) == 0.0
     assert len(shingle_hashes(points("abc"))) == 0
 
@@ -92,3 +96,39 @@ def test_reading():
 
 def test_common_han_are_letters():
     assert len(comparable(["人口手竹文立比火一入子言谷鼓舟"])[0]) == 15
+
+
+def test_repetitive_texts_cost_no_product():
+    import time
+
+    index = item_indexes([(1, "en", "a" * 2000), (2, "en", "ab" * 500)], frozenset(), 60, 25, 1)[0]
+    cps, offsets = comparable(["a" * 80_000, "ba" * 40, "b" * 500])
+    began = time.time()
+    assert index.search(cps, offsets, shingle_hashes(cps)) == {(0, 0), (1, 1)}
+    assert time.time() - began < 1
+
+
+def test_similar_stretches_by_brute_force():
+    rng = random.Random(9)
+    words = [f"{a}{b}{c}{d}" for a in "bdgk" for b in "aeiou" for c in "lmnr" for d in "stx"]
+    prose = lambda n: rng.choices(words, k=n)
+    items = [(i, "en", " ".join(prose(rng.randrange(30, 90)))) for i in range(8)] + [(98, "en", ""), (99, "en", "ab"), (97, None, None)]
+    docs = []
+    for n in range(60):
+        piece = items[rng.randrange(8)][2].split()
+        for _ in range(rng.choice([0, 1, 2, 3, 8])):
+            piece[rng.randrange(len(piece))] = rng.choice(words)
+        docs.append(" ".join(prose(rng.randrange(60)) + piece + prose(rng.randrange(60))))
+    docs += [items[0][2], "", "ab", items[1][2][:20]]
+    index = item_indexes(items, frozenset(), 60, 25, 1, 0.8)[0]
+    cps, offsets = comparable(docs)
+    got = {(d, index.ids[i]) for d, i in index.search(cps, offsets, shingle_hashes(cps))}
+    want = set()
+    for d in range(len(docs)):
+        text = cps[offsets[d] : offsets[d + 1]]
+        for i, own in zip(index.ids, index.texts):
+            at = range(0, max(len(text) - len(own), 0) + 1, 2)
+            if any(weighted_jaccard(text[k : k + len(own)], own) >= 0.8 for k in at):
+                want.add((d, i))
+    print(f"similar stretches: {len(got & want)} of {len(want)}")
+    assert len(want) > 30 and len(got & want) >= 0.9 * len(want)
