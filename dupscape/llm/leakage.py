@@ -76,6 +76,13 @@ class HammingBlocks:
             seen[key & np.uint64(0xFFFFF)] = True
             self.seen.append(seen)
 
+    def possible(self, queries: np.ndarray) -> np.ndarray:
+        """Which queries may have a fingerprint within the radius, by one bit a block; none that has is lost."""
+        out = np.zeros(len(queries), bool)
+        for (shift, mask), seen in zip(self.parts, self.seen):
+            out |= seen[queries >> shift & mask & np.uint64(0xFFFFF)]
+        return out
+
     def lookup(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query number, fingerprint number) within the radius, each once."""
         found = []
@@ -169,7 +176,9 @@ class ItemIndex:
         n[sizes < self.window] = 0
         doc = np.repeat(np.arange(len(n)), n)
         starts = offsets[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * self.stride
-        seen = np.unique(np.stack([doc.astype(np.uint64), simhash(hashes, starts, self.window - SHINGLE + 1)]), axis=1)
+        prints = simhash(hashes, starts, self.window - SHINGLE + 1)
+        maybe = np.flatnonzero(self.blocks.possible(prints))
+        seen = np.unique(np.stack([doc[maybe].astype(np.uint64), prints[maybe]]), axis=1)
         q, f = self.blocks.lookup(seen[1])
         found: set[tuple[int, int]] = set()
         for dn, number in np.unique(np.stack([seen[0][q].astype(np.int64), self.item[f]]), axis=1).T.tolist():
