@@ -6,7 +6,7 @@ import hashlib
 import json
 import os
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +17,10 @@ from pyspark.sql.types import StringType
 from dupscape.operators import content, exact, images, inventory, library, names, state
 from dupscape.operators.inventory import BOOKS, ScanOptions
 from dupscape.paths import extension, within_any
-from dupscape.session import materialize
+from dupscape.session import materialize, width
 from dupscape.sources import books
 from dupscape.sources import inventory as inventory_source
+from dupscape.streaming.duplicates import JobControl
 
 #: Bytes of a sampled block, and of one read.
 BLOCK, READ = 65_536, 1 << 20
@@ -96,24 +97,26 @@ class Engine:
         return exact.reuse_hashes(files, stored, ["path"], stamp, ["sample_hash", "full_hash"])
 
     def stored_hashes(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.cache) if self.cache and os.path.isdir(self.cache) else None
+        return self.spark.read.parquet(self.cache) if self.cache and self._exists(self.cache) else None
 
     def clear_cache(self) -> None:
         old = self.stored_hashes()
         if old is not None:
             old.limit(0).write.mode("overwrite").parquet(self.cache)
 
-    def scan(self, roots: Sequence[str], options: ScanOptions = ScanOptions(), store: state.SessionStore | None = None, resume: bool = False) -> ScanResult:
+    def scan(self, roots: Sequence[str], options: ScanOptions = ScanOptions(), store: state.SessionStore | None = None, resume: bool = False, control: JobControl | None = None) -> ScanResult:
         """Exact duplicates, and in reference mode what only the other roots hold.
 
         Sizes first, then samples, then whole hashes, each only of what the step before left; hard links are read once.
-        With ``store`` every stage's result is part of the session, and ``resume`` takes its roots, options and, for files
-        with an unchanged stamp, hashes.
+        With ``store`` the hashes are saved in the session after each stage, so that a scan that fails in a later one loses
+        none of them; ``resume`` takes the session's roots, options and, for files with an unchanged stamp, hashes.
+        ``control`` is asked before each stage, and cancels or pauses there; a cancelled scan stays interrupted.
         """
         manifest, stored = {}, self.stored_hashes()
         if store is not None and resume:
             manifest = store.load()
             roots, options = manifest["roots"], manifest["options"]
+            manifest = manifest | {"options": asdict(options)}
             if "files" in manifest["tables"]:
                 stored = store.table(manifest, "files")
         elif problems := options.problems(roots):
@@ -121,7 +124,25 @@ class Engine:
         elif store is not None:
             manifest = store.create(roots, options)
             store.save(manifest, {}, state.RUNNING)
+        columns = ["path", "size", "device", "inode", "modified_s", "modified_ns", "changed_s", "changed_ns", "sample_hash", "full_hash"]
+
+        def stage(label: str, hashed: DataFrame | None = None) -> None:
+            """What is hashed so far becomes part of the session; then the next stage may begin."""
+            nonlocal manifest
+            if store is not None and hashed is not None:
+                rest = known.select(*columns).join(hashed.select("path"), "path", "left_anti")
+                manifest = store.save(manifest, {"files": rest.unionByName(hashed.select(*columns))}, state.RUNNING)
+            if control is not None:
+                try:
+                    control.checkpoint(label)
+                except InterruptedError:
+                    if store is not None:
+                        store.save(manifest, {}, state.INTERRUPTED)
+                    raise
+
+        stage("inventory")
         files, errors = self.inventory(roots, options)
+        stage("hashes")
         preferred = within_any("path", options.reference_paths) if options.reference_paths else None
         known = materialize(self._reused(inventory.one_per_identity(files, preferred=preferred), stored), "known")
         if options.mode == "reference":
@@ -130,9 +151,11 @@ class Engine:
             sized = exact.size_candidates(known)
             small = F.col("size") <= 3 * BLOCK
             sampled = materialize(sized.withColumn("sample_hash", F.coalesce("sample_hash", F.when(small, F.col("full_hash")), sample_digest("path", "size"))), "sampled")
+            stage("full hashes", sampled)
             left = exact.repeated(sampled, ["size", "sample_hash"])
             hashed = left.withColumn("full_hash", F.coalesce("full_hash", F.when(small, F.col("sample_hash")), full_digest("path", "size")))
         hashed = materialize(hashed, "hashed")
+        stage("images", hashed)
         failed = hashed.where("full_hash is null").select("path", F.lit("unreadable or changed while read").alias("error"))
         errors = errors.unionByName(failed)
         incomplete = not errors.isEmpty()
@@ -143,10 +166,9 @@ class Engine:
             unique = library.unique_targets(hashed, options.reference_paths, incomplete)
         found = images.similar_image_groups(self.image_signatures(files), options.similarity_threshold) if options.similar_images else None
         result = ScanResult(files, hashed, groups, unique, found, errors, incomplete, manifest)
-        columns = ["path", "size", "device", "inode", "modified_s", "modified_ns", "changed_s", "changed_ns", "sample_hash", "full_hash"]
         kept = known.select(*columns).join(hashed.select("path"), "path", "left_anti").unionByName(hashed.select(*columns))
         if store is not None:
-            result.session = store.save(manifest | {"options": manifest["options"].__dict__} if resume else manifest, {"files": kept}, result.status)
+            result.session = store.save(manifest, {"files": kept}, result.status)
         if self.cache:
             # the old cache may be an input of this plan, so the new one is read back from shared storage
             materialize(kept, "cache").write.mode("overwrite").parquet(self.cache)
@@ -169,12 +191,23 @@ class Engine:
         files, _ = self.inventory(roots, ScanOptions(recursive=recursive, minimum_size=0, extensions=BOOKS))
         return names.name_matches(files, least)
 
-    def scan_books(self, roots: Sequence[str], level: str = "standard", recursive: bool = True) -> tuple[DataFrame, DataFrame]:
-        """E-books with their texts' states, and pairs that share passages."""
+    def scan_books(self, roots: Sequence[str], level: str = "standard", recursive: bool = True, text_cache: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """E-books with their texts, states and titles, and pairs that share passages; ``text_cache`` keeps texts between scans."""
         files, _ = self.inventory(roots, ScanOptions(recursive=recursive, minimum_size=0, extensions=BOOKS))
-        folders = [f"file://{r}" for r in roots]
-        data = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folders)
-        data = data.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
-        read = books.extract_books(files.select("path", "size").withColumn("ext", extension("path")).join(data, "path"))
+        wanted = files.select("path", "size", "modified_s", "modified_ns").withColumn("ext", extension("path"))
+        old = self.spark.read.parquet(text_cache) if text_cache and self._exists(text_cache) else None
+        if old is not None:
+            # a text is taken again if path, size and time of change are those it was read at
+            same = ["path", "size", "modified_s", "modified_ns", "ext"]
+            kept = materialize(old.join(wanted, same, "left_semi"), "cached-books")
+            read = kept.unionByName(books.read_books(wanted.join(kept, same, "left_anti").repartition(width(self.spark))))
+        else:
+            read = books.read_books(wanted.repartition(width(self.spark)))
         read = materialize(read, "books")
+        if text_cache:
+            read.write.mode("overwrite").parquet(text_cache)
         return read, content.content_matches(read.where("state = 'ready'"), "path", "text", level)
+
+    def _exists(self, path: str) -> bool:
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(found)

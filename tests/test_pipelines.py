@@ -239,3 +239,50 @@ def test_stream_and_control(spark, rows, tmp_path):
     control.cancel()
     with pytest.raises(InterruptedError):
         control.checkpoint("stage")
+
+
+def test_books_beside_a_huge_file(spark, rows, tmp_path):
+    """Only listed books are opened: a file of 3 GB beside one, and one that pretends to be a book, change nothing."""
+    import zipfile
+
+    from dupscape.plans.engine import Engine
+
+    text = "<p>" + " ".join(f"word{i}" for i in range(400)) + "</p>"
+    for name in ("a.epub", "b.epub"):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            for i in range(3):
+                z.writestr(f"c{i}.xhtml", text)
+    for name in ("film.bin", "film.mobi"):
+        with open(tmp_path / name, "wb") as file:
+            file.truncate(3 << 30)
+    cache = f"file://{tmp_path}.cache"
+    read, matches = Engine(spark).scan_books([str(tmp_path)], text_cache=cache)
+    assert sorted((r.path.rsplit("/", 1)[1], r.state, r.title) for r in read.collect()) == [("a.epub", "ready", "a"), ("b.epub", "ready", "b"), ("film.mobi", "failed", "film")]
+    assert matches.count() == 1
+    again, _ = Engine(spark).scan_books([str(tmp_path)], text_cache=cache)
+    assert again.where("state = 'ready'").count() == 2
+
+
+def test_a_cancelled_scan_keeps_its_hashes(spark, rows, tmp_path, monkeypatch):
+    from dupscape.operators.inventory import ScanOptions
+    from dupscape.operators.state import SessionStore
+    from dupscape.plans.engine import Engine
+
+    for name in ("a", "b"):
+        write(tmp_path / "in" / name, "equal" * 50_000)
+    control, store = JobControl(spark), SessionStore(spark, str(tmp_path / "session"))
+    asked = []
+
+    def checkpoint(label=""):
+        asked.append(label)
+        if label == "full hashes":
+            raise InterruptedError(label)
+
+    monkeypatch.setattr(control, "checkpoint", checkpoint)
+    with pytest.raises(InterruptedError):
+        Engine(spark).scan([str(tmp_path / "in")], ScanOptions(), store, control=control)
+    saved = store.load()
+    assert asked == ["inventory", "hashes", "full hashes"] and saved["status"] == "interrupted"
+    assert store.table(saved, "files").where("sample_hash is not null").count() == 2
+    result = Engine(spark).scan([], ScanOptions(), store, resume=True)
+    assert result.groups.count() == 1 and store.load()["status"] == "completed"
