@@ -456,7 +456,11 @@ def containment(window: list[str], exemplars: Exemplars, idf: Mapping[str, float
     if not total:
         return 0.0
     strict = covered / total
-    if strict >= LOOSE or len({w for w in own if w in exemplars.parts and w.isalpha()}) < DISTINCT:
+    if strict >= LOOSE:
+        return strict
+    # words outside all exemplars weigh most, so these characters bound the share of the weight
+    known = list(filter(exemplars.parts.__contains__, own))
+    if sum(map(length, known)) < LOOSE * sum(map(length, own)) or len({w for w in known if w.isalpha()}) < DISTINCT:
         return strict
     covered = total = 0.0
     for i, w in enumerate(own):
@@ -481,12 +485,18 @@ def coverage(words: list[str], exemplars: Exemplars, idf: Mapping[str, float], u
 def _possible(words: list[str], exemplars: Exemplars, least: float) -> float:
     """A bound of the coverage that needs no frequencies; ``least`` is below ``LOOSE``, so single words are within it.
 
-    Covered tokens lie in ``exemplars.parts``, and no token weighs more a character than one that does not; so a window
-    of containment c has at least c of its characters in parts, and a coverage of s needs s x c of the text's.
+    Covered tokens lie in ``exemplars.parts``, and no token weighs more a character than one that is not covered; so a
+    window of containment c has at least c of its characters in parts.
     """
     parts = exemplars.parts
-    whole = sum(map(length, words)) - words.count(BREAK)
-    return sum(map(length, filter(parts.__contains__, words))) / whole / least if whole else 0.0
+    residue = whole = 0
+    for window in windows(words):
+        own = window[:WINDOW]
+        chars = sum(map(length, own))
+        whole += chars
+        if sum(map(length, filter(parts.__contains__, own))) >= least * chars:
+            residue += chars
+    return residue / whole if whole else 0.0
 
 
 def residue_coverage(
