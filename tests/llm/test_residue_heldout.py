@@ -9,7 +9,8 @@ import pytest
 
 from dupscape.llm import residue
 
-# Notices as browsers, servers, page builders and shops word them; none was used to write the exemplars.
+# Notices as browsers, servers, page builders and shops word them, written after the exemplars by the same
+# hand. Three kinds were known before: the slots in $ and in brackets, for which notations were added, and the slide master.
 HELD_OUT = """
 Firefox can't find the server at the address you entered. Check your network connection and try again.
 Sorry! That page doesn't seem to exist. Try the search box or go back to the home page.
