@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,19 +20,65 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def nearest(a: Column, b: Column) -> Column:
-    """The least distance between any hash of one and any of the other."""
-    return F.array_min(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: hamming(x, y)))))
+def cuts(threshold: int, agreeing: int = 1) -> list[tuple[int, int]]:
+    """Lowest bit and mask of threshold + agreeing bands over all 64 bits."""
+    count = clamp(threshold) + agreeing
+    ends = [i * 64 // count for i in range(count + 1)]
+    return [(low, (1 << high - low) - 1) for low, high in zip(ends, ends[1:])]
+
+
+def bands(value: Column, threshold: int, agreeing: int = 1) -> Column:
+    """threshold + agreeing structs (band, bits) over all 64 bits: hashes within the threshold agree in at least so many."""
+    return F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(value, low).bitwiseAND(F.lit(mask)).alias("bits")) for i, (low, mask) in enumerate(cuts(threshold, agreeing))])
+
+
+#: From this length on the rows of one key are compared as a table, below it one place apart, two, and so on; cells of such a table.
+LONG, CELLS = 256, 1 << 17
+
+
+def near_in_band(hashes: np.ndarray, own: np.ndarray, group: np.ndarray, band: int, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs ``(x, y)`` within the threshold whose first agreeing band, of threshold + 2, is this one.
+
+    ``hashes`` (uint64) are different within a ``group`` (below 2^20); each pair's lesser hash must be ``own``. Pairs within the threshold
+    agree in a second band, so only rows that share one are compared, and a pair counts at the first such band.
+    """
+    t, places = clamp(threshold), cuts(threshold, 2)
+    bits = lambda values, k: values >> np.uint64(places[k][0]) & np.uint64(places[k][1])
+    order = np.argsort(hashes)
+    hashes, own = hashes[order], own[order]
+    first = (group[order].astype(np.uint64) << np.uint64(22) | bits(hashes, band)) << np.uint64(22)
+    for second in range(band + 1, len(places)):
+        key = first | bits(hashes, second)
+        order = np.argsort(key, kind="stable")
+        key, h, mine = key[order], hashes[order], own[order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        ends = np.r_[starts[1:], len(key)]
+        earlier = [k for k in range(second) if k != band]
 
+        def kept(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            apart = np.ones(len(x), bool)
+            for k in earlier:  # noqa: B023
+                apart &= bits(x ^ y, k) != 0
+            return x[apart], y[apart]
 
-def bands(value: Column, threshold: int) -> Column:
-    """threshold + 1 structs (band, bits) over all 64 bits: hashes within the threshold agree in at least one."""
-    count = clamp(threshold) + 1
-    out = []
-    for i in range(count):
-        low, high = i * 64 // count, (i + 1) * 64 // count
-        out.append(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(value, low).bitwiseAND(F.lit((1 << high - low) - 1)).alias("bits")))
-    return F.array(*out)
+        for start, end in zip(*(v[ends - starts >= LONG].tolist() for v in (starts, ends))):
+            step = max(1, CELLS // (end - start))
+            for low in range(start, end, step):
+                p, q = np.nonzero(np.bitwise_count(h[low : min(low + step, end), None] ^ h[None, low:end]) <= t)
+                chosen = (p < q) & mine[low + p]
+                if chosen.any():
+                    yield kept(h[low + p[chosen]], h[low + q[chosen]])
+        sizes = ends - starts
+        left = np.repeat(ends, sizes) - np.arange(len(key)) - 1  # rows of the key that follow
+        left[~mine | (np.repeat(sizes, sizes) >= LONG)] = 0
+        at = np.argsort(-left, kind="stable")
+        after = np.cumsum(np.bincount(left)[::-1])[::-1]  # rows with at least so many that follow
+        for apart in range(1, len(after)):
+            rows = at[: after[apart]]
+            x, y = h[rows], h[rows + apart]
+            hit = np.bitwise_count(x ^ y) <= t
+            if hit.any():
+                yield kept(x[hit], y[hit])
 
 
 def difference_hash(gray: np.ndarray) -> int:

@@ -52,6 +52,20 @@ def skewed_join(facts: DataFrame, few: DataFrame, keys: Sequence[str], spread_by
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def salted_rows(df: DataFrame, keys: Sequence[str], row: str, block: int = 100_000) -> DataFrame:
+    """``df`` with ``salt`` and ``own``, for work on all rows of ``(keys, salt)`` at once.
+
+    The rows of a crowded key come once for each of its salts, and are ``own`` in one of them, which holds ``block`` such
+    rows or so; work that is done for own rows only, against all rows, is done once.
+    """
+    heavy = crowded(df, keys, block)
+    if heavy is None:
+        return df.select("*", F.lit(0).alias("salt"), F.lit(True).alias("own"))
+    salts = F.broadcast(heavy.select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_salts")))
+    rows = df.join(salts, list(keys), "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+    return rows.withColumn("salt", _all_salts(F.col("_salts"))).withColumn("own", F.col("salt") == _salt([row], F.col("_salts"))).drop("_salts")
+
+
 def salted_pairs(df: DataFrame, keys: Sequence[str], row: str, carry: Sequence[str] = (), block: int = BLOCK, most: int = MOST) -> DataFrame:
     """All pairs of rows that agree in ``keys``, as columns ``<name>_a`` and ``<name>_b`` with ``row_a < row_b``.
 
