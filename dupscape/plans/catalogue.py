@@ -489,9 +489,8 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hamming(spark: SparkSession, sf_dir: str, threshold: int) -> DataFrame:
-    hashes = _cells(spark, sf_dir).select(grid_hash(F.col("cells")).alias("hash")).distinct()
-    sets = hashes.select(F.col("hash").cast("string").alias("cls"), F.array("hash").alias("hashes"), F.lit(0.0).alias("mean"), F.lit(10.0).alias("deviation"))
-    return images.near_signatures(sets, threshold).groupBy(F.col("distance").cast("bigint").alias("distance")).agg(F.count(F.lit(1)).alias("pairs"))
+    hashes = _cells(spark, sf_dir).select(grid_hash(F.col("cells")).alias("hash"))
+    return images.near_hashes(hashes, threshold).groupBy(F.col("distance").cast("bigint").alias("distance")).agg(F.count(F.lit(1)).alias("pairs"))
 
 
 @query(f"""WITH h AS (SELECT DISTINCT {_BITS} AS h FROM (SELECT {GRID_SQL} AS cs FROM documents WHERE length(text) >= 72))

@@ -2,7 +2,9 @@
 
 import os
 import random
+from collections import Counter
 
+import __spark_entry__ as entry
 from dupscape.operators import images
 from dupscape.session import shared_dir
 
@@ -49,3 +51,22 @@ def test_q28_pairs_that_are_not_near_stay_in_their_task(spark):
     written = sum(n for f, n in files(spark).items() if f not in before)
     assert got == {(f"/{i:04d}", f"/{i:04d}{end}", d) for i in range(0, 1500, 100) for end, d in (("", 0), ("n", 5), ("s", 0))}
     assert written < 10_000_000
+
+
+def hamming_query(spark, tmp_path, name, threshold):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcdefgh", k=36)) + "a" * 36 for _ in range(1500)]  # all agree in 32 bits
+    docs = [(i, t) for i, t in enumerate([*texts, *texts[:9], "", None])]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sign = lambda g: sum((g[r * 9 + c] > g[r * 9 + c + 1]) << 63 - r * 8 - c for r in range(8) for c in range(8))
+    made = sorted(set(map(sign, texts)))
+    away = Counter((x ^ y).bit_count() for i, x in enumerate(made) for y in made[i + 1 :])
+    before = files(spark)
+    got = {r.distance: r.pairs for r in entry.queries()[name](spark, str(tmp_path)).collect()}
+    written = sum(n for f, n in files(spark).items() if f not in before)
+    assert got == {d: n for d, n in away.items() if d <= threshold} and threshold in got
+    assert written < 5_000_000
+
+
+def test_q27_pairs_that_are_not_near_stay_in_their_task(spark, tmp_path):
+    hamming_query(spark, tmp_path, "q27_hamming_pairs", 4)
