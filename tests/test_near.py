@@ -70,3 +70,7 @@ def hamming_query(spark, tmp_path, name, threshold):
 
 def test_q27_pairs_that_are_not_near_stay_in_their_task(spark, tmp_path):
     hamming_query(spark, tmp_path, "q27_hamming_pairs", 4)
+
+
+def test_q27d_pairs_that_are_not_near_stay_in_their_task(spark, tmp_path):
+    hamming_query(spark, tmp_path, "q27d_hamming_pairs", 8)
